@@ -164,16 +164,14 @@ def prefix_terms(c: Column, prefix: Column, keep_empty: bool = False) -> Column:
 def ngrams(words: Column, longest: int) -> Column:
     """All runs of 1..longest words of an array, joined by a space."""
 
+    def run_of(w: Column, n: int) -> Callable[[Column, Column], Column]:
+        return lambda first, i: F.concat_ws(" ", first, *[F.get(w, i + F.lit(j)) for j in range(1, n)])
+
     def runs(w: Column) -> Column:
         parts = [w]
         for n in range(2, longest + 1):
             starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - F.lit(n - 1), F.lit(0)))
-            parts.append(
-                F.transform(
-                    starts,
-                    lambda first, i, n=n: F.concat_ws(" ", first, *[F.get(w, i + F.lit(j)) for j in range(1, n)]),
-                )
-            )
+            parts.append(F.transform(starts, run_of(w, n)))
         return F.concat(*parts)
 
     return words if longest == 1 else bind(words, runs)

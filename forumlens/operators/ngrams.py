@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -17,6 +19,9 @@ SLACK = 1e-7
 _TAIL_STOP = 1e-17
 _BLOCK = 1024
 
+# The helpers below travel to the executors with the UDF that calls them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def class_ngrams(docs: DataFrame, text: str, label: str, longest: int = 3, min_df: int = 2) -> DataFrame:
     """Total and document frequency of every n-gram per class.

@@ -6,7 +6,7 @@ import importlib
 
 from forumlens.plans.registry import CHECKS, QUERIES
 
-MODULES = ["records"]
+MODULES = ["records", "texts", "terms"]
 
 
 def _load() -> None:
