@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlens.functions.text import ngrams
-from forumlens.operators import scoring
+from forumlens.operators import filters, scoring
 from forumlens.operators.ranking import rank_by_draw
 from forumlens.operators.vocabulary import fit_vectoriser, vectorise
 from forumlens.session import checkpointed
@@ -283,3 +283,12 @@ def top_weighted_features(model, words: Sequence[str], n: int = 20):
     weights = model.coefficients.toArray()
     order = sorted(range(len(words)), key=lambda i: (-weights[i], words[i]))[:n]
     return [(words[i], float(weights[i])) for i in order]
+
+
+def hold_out_with_questions(threads: DataFrame, key: str = "post_fullname", label: str = "health_claim") -> DataFrame:
+    """The hold-out threads plus all test questions, which are in no other part."""
+    labelled = filters.override_label(threads, label)
+    split = hold_out_split(filters.without_test_questions(labelled), key, label).where("hold_out")
+    held = split.select(key, label, F.lit(False).alias("is_test_question"))
+    questions = labelled.where(F.col("send_to_mturk") == 2).select(key, label, F.lit(True).alias("is_test_question"))
+    return held.unionByName(questions)

@@ -135,13 +135,13 @@ def model_members(best: DataFrame, members: DataFrame, top: int = 1) -> DataFram
     return members.where(F.col("rank") <= top).join(best.select("key", *MODEL), MODEL).select("key", "method", "member")
 
 
-def compare_models(chosen: DataFrame) -> DataFrame:
+def compare_models(chosen: DataFrame, best: DataFrame) -> DataFrame:
     """Members of one model that another lacks, for every ordered pair.
 
     Each member gathers the models that hold it (at most as many as there are
     models) and is sent once to every pair that differs in it.
     """
-    models = chosen.select(F.array_sort(F.collect_set("key"))).scalar()
+    models = best.select(F.array_sort(F.collect_set("key"))).scalar()
     per_member = chosen.groupBy("member").agg(F.collect_set("key").alias("has"))
     return (
         per_member.withColumn("lacks", F.array_except(models, F.col("has")))
@@ -162,26 +162,25 @@ def member_matrix(chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return chosen.groupBy("member").pivot("key", list(keys)).agg(F.max(F.lit(1))).fillna(0)
 
 
-def member_share(chosen: DataFrame, column: str) -> DataFrame:
-    """Percentage of the models that hold each member."""
-    n_models = chosen.select(F.count_distinct("key")).scalar()
+def member_share(chosen: DataFrame, best: DataFrame, column: str) -> DataFrame:
+    """Percentage of the best models that hold each member."""
+    n_models = best.select(F.count("*")).scalar()
     return chosen.groupBy("member").agg((F.count_distinct("key") * F.lit(100.0) / n_models).alias(column))
 
 
-def member_shares(chosen: DataFrame) -> DataFrame:
+def member_shares(chosen: DataFrame, best: DataFrame) -> DataFrame:
     """Shares among the k-means models, the LDA models and all of them.
 
     One pass over the members gives all three, which is what joining the three
-    separate tables by member would give.
+    separate tables by member would give. `best` has one row per model.
     """
+    names = {"kmeans": "kmeans", "lda": "lda", "kmeans+lda": None}
 
-    def count_of(method: str | None):
-        hit = F.col("key") if method is None else F.when(F.col("method") == method, F.col("key"))
-        return F.count_distinct(hit)
+    def of(method: str | None, value: str):
+        return F.col(value) if method is None else F.when(F.col("method") == method, F.col(value))
 
-    names = {"kmeans": "kmeans", "lda": "lda", "kmeans+lda": None}
-    totals = {name: chosen.select(count_of(method)).scalar() for name, method in names.items()}
-    held = chosen.groupBy("member").agg(*[count_of(method).alias(name) for name, method in names.items()])
+    totals = {name: best.select(F.count(of(method, "key"))).scalar() for name, method in names.items()}
+    held = chosen.groupBy("member").agg(*[F.count_distinct(of(method, "key")).alias(n) for n, method in names.items()])
     shares = [
         F.when(F.col(f"`{name}`") > 0, F.col(f"`{name}`") * F.lit(100.0) / total).alias(name)
         for name, total in totals.items()

@@ -6,10 +6,11 @@ The long form `(doc, term, tf)` gives exact answers at any vocabulary size;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,8 +144,8 @@ def vocabulary_sweep(docs: DataFrame, tf: DataFrame, grid: DataFrame) -> DataFra
 def fit_vectoriser(
     docs: DataFrame,
     words: str,
-    min_df: float = 2,
-    max_df: float = float(2**63 - 1),
+    min_df: int = 2,
+    max_df: float = 1.0,
     max_features: int = 1 << 18,
     output: str = "features",
     counts: str = "counts",
@@ -152,17 +153,19 @@ def fit_vectoriser(
     """Fit TF-IDF vectors on an array-of-words column.
 
     `max_features` bounds the vocabulary, which the driver holds and every
-    executor receives. Spark's own IDF lacks the `+ 1`, so the weights are
-    taken from it and raised.
+    executor receives: of the terms within the limits, the most frequent ones,
+    ties by term, with columns in alphabetical order. One pass finds the terms
+    and their weights.
     """
-    counter = CountVectorizer(inputCol=words, outputCol=counts, minDF=min_df, maxDF=max_df, vocabSize=max_features)
-    counter_model = counter.fit(docs)
-    idf = IDF(inputCol=counts, outputCol="__idf").fit(counter_model.transform(docs)).idf
-    raised = Vectors.dense([w + 1.0 for w in idf.toArray()])
+    n_docs = docs.count()
+    tf = docs.select(F.explode(T.term_counts(F.col(words))).alias("t")).select("t.term", "t.tf")
+    inside = vocabulary(document_frequency(tf), F.lit(n_docs), min_df, max_df)
+    chosen = sorted(top_features(inside, max_features).select("term", "df").collect())
+    weights = [math.log((1.0 + n_docs) / (1.0 + df)) + 1.0 for _, df in chosen]
     return PipelineModel(
         [
-            counter_model,
-            ElementwiseProduct(inputCol=counts, outputCol="__weighted", scalingVec=raised),
+            CountVectorizerModel.from_vocabulary([term for term, _ in chosen], inputCol=words, outputCol=counts),
+            ElementwiseProduct(inputCol=counts, outputCol="__weighted", scalingVec=Vectors.dense(weights)),
             Normalizer(inputCol="__weighted", outputCol=output, p=2.0),
         ]
     )

@@ -261,7 +261,7 @@ CLUSTERS = """
 base AS (SELECT doc_id, n_chars, CAST(substr(source, 4) AS INTEGER) AS s,
                 CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS l FROM documents),
 clusters AS (
-  SELECT doc_id, 'kmeans' AS method, 20 AS k, 2 AS min_df, 0.6 AS max_df, s AS cluster FROM base
+  SELECT doc_id, 'kmeans' AS method, 20 AS k, 2 AS min_df, 0.6::DOUBLE AS max_df, s AS cluster FROM base
   UNION ALL SELECT doc_id, 'kmeans', 10, 2, 0.6, CAST(s // 2 AS INTEGER) FROM base
   UNION ALL SELECT doc_id, 'kmeans', 4, 7, 0.6, l FROM base
   UNION ALL SELECT doc_id, 'lda', 5, 2, 0.6, CAST(least(n_chars // 1000, 4) AS INTEGER) FROM base
