@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import DenseMatrix
@@ -23,7 +25,7 @@ from forumlens.functions.text import ngrams
 from forumlens.operators import filters, scoring
 from forumlens.operators.ranking import rank_by_draw
 from forumlens.operators.vocabulary import fit_vectoriser, vectorise
-from forumlens.session import checkpointed
+from forumlens.session import written
 
 # Fixed values of the experiments.
 SEED = 123
@@ -221,25 +223,32 @@ def fit_point(point: Point, train: DataFrame, test: DataFrame, key: str = "doc_i
     )
 
 
-def cross_validate(train: DataFrame, points: Sequence[Point], key: str = "doc_id") -> DataFrame:
+def cross_validate(train: DataFrame, points: Sequence[Point], key: str = "doc_id", parallelism: int = 4) -> DataFrame:
     """(classifier, point, fold, tn, fp, fn, tp) and all metrics for every grid point and fold.
 
     Features are fitted once per (fold, feature limits) and written, so the
     classifiers of that feature set read them instead of redoing the text work.
+    `parallelism` of these run at a time, as in Spark's own CrossValidator.
     """
-    rows = []
     folds = [r[0] for r in train.select("fold").distinct().orderBy("fold").collect()]
     feature_sets = sorted({(p.max_features or 0, p.longest) for p in points})
-    for fold, (limit, longest) in product(folds, feature_sets):
+
+    def evaluate(task) -> list[tuple]:
+        fold, (limit, longest) = task
         inside, outside = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
         fitted, held, _ = featurise(inside, outside, limit or None, longest, key)
-        fitted, held = checkpointed(fitted), checkpointed(held)
+        fitted, held = written(fitted, "train"), written(held, "test")
+        rows = []
         for p in points:
-            if (p.max_features or 0, p.longest) != (limit, longest):
-                continue
-            _, scored = fit_point(p, fitted, held, key)
-            cell = scoring.cells(scored).first()
-            rows.append((p.classifier, p.name, fold, cell["tn"], cell["fp"], cell["fn"], cell["tp"]))
+            if (p.max_features or 0, p.longest) == (limit, longest):
+                _, scored = fit_point(p, fitted, held, key)
+                cell = scoring.cells(scored).first()
+                rows.append((p.classifier, p.name, fold, cell["tn"], cell["fp"], cell["fn"], cell["tp"]))
+        return rows
+
+    inherit = inheritable_thread_target(train.sparkSession)
+    with ThreadPool(parallelism) as pool:
+        rows = [r for part in pool.map(inherit(evaluate), product(folds, feature_sets)) for r in part]
     schema = "classifier STRING, point STRING, fold INT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT"
     return scoring.metrics_from_cells(train.sparkSession.createDataFrame(rows, schema))
 
@@ -260,11 +269,11 @@ def best_point(fold_metrics: DataFrame, points: Sequence[Point], refit: str = "p
 def nested_cross_validate(train: DataFrame, points: Sequence[Point], key: str = "doc_id", folds: int = FOLDS):
     """Metrics of every outer fold, each tuned by a grid search on the other folds."""
     outer = with_folds(train, key, folds=folds, seed=SEED).withColumnRenamed("fold", "outer_fold")
-    outer = checkpointed(outer)
+    outer = written(outer)
     result = None
     for fold in range(folds):
         inside, outside = outer.where(F.col("outer_fold") != fold), outer.where(F.col("outer_fold") == fold)
-        inner = checkpointed(with_folds(inside.drop("outer_fold"), key, folds=folds, seed=SEED + 1))
+        inner = written(with_folds(inside.drop("outer_fold"), key, folds=folds, seed=SEED + 1))
         chosen = best_point(cross_validate(inner, points, key), points)
         fitted, held, _ = featurise(inner, outside, chosen.max_features, chosen.longest, key)
         _, scored = fit_point(chosen, fitted, held, key)

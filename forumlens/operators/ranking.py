@@ -115,26 +115,25 @@ def row_index(df: DataFrame, key: str, label: str = "row_index") -> DataFrame:
 def running_totals(
     df: DataFrame, groups: Sequence[str], column: str, sums: dict[str, str], descending: bool = True
 ) -> DataFrame:
-    """Running sums over distinct values of a numeric column, per group.
+    """Add running sums to a table with one row per (groups, value of a numeric
+    column), in the order of that column. `sums` maps new names to columns.
 
-    `sums` maps new names to columns. The result has one row per (groups,
-    column value). Groups are few (classifiers, classes); their rows are not.
+    Groups are few (classifiers, classes); their rows are not.
     """
     cuts = range_cuts(df, column, groups)
-    step = df.groupBy(*groups, column).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    step = step.withColumn("__bucket", _range_bucket(column, groups, cuts))
+    step = df.withColumn("__bucket", _range_bucket(column, groups, cuts))
     cells = [*groups, "__bucket"]
-    order = (F.col("__bucket").desc() if descending else F.col("__bucket").asc(),)
-    before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = step.groupBy(*cells).agg(*[F.sum(name).alias(name) for name in sums])
+    order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
+    before = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = step.groupBy(*cells).agg(*[F.sum(c).alias(f"__b{name}") for name, c in sums.items()])
     offsets = totals.select(
         *[F.col(c).alias(f"__o{c}") for c in cells],
-        *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"__b{name}") for name in sums],
+        *[F.coalesce(F.sum(f"__b{name}").over(before), F.lit(0)).alias(f"__b{name}") for name in sums],
     )
     value = F.col(column).desc() if descending else F.col(column).asc()
     inside = Window.partitionBy(*cells).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    local = step.select(*cells, column, *[F.sum(name).over(inside).alias(name) for name in sums])
+    local = step.select("*", *[F.sum(c).over(inside).alias(name) for name, c in sums.items()])
     on = [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in cells]
     return local.join(offsets, on).select(
-        *groups, column, *[(F.col(name) + F.col(f"__b{name}")).alias(name) for name in sums]
+        *df.columns, *[(F.col(name) + F.col(f"__b{name}")).alias(name) for name in sums]
     )

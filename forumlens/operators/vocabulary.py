@@ -36,8 +36,13 @@ def group_term_table(posts: DataFrame, group: str, text: str) -> DataFrame:
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
-    """(term, df, total): documents that hold the term and its corpus frequency."""
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    """(term, df, total): documents that hold the term and its corpus frequency.
+
+    The null test is always true; a join on `term` would add it to its own
+    branch only, and branches that differ cannot share one shuffle.
+    """
+    known = tf.where(F.col("term").isNotNull())
+    return known.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
 def in_limits(n_docs: Column, min_df: int, max_df: float) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from forumlens.plans.registry import CHECKS, QUERIES
 
-MODULES = ["records", "texts", "terms", "models", "classifiers"]
+MODULES = ["records", "texts", "terms", "models", "classifiers", "sinks"]
 
 
 def _load() -> None:

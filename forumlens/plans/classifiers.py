@@ -8,7 +8,7 @@ from forumlens.functions import text as T
 from forumlens.operators import classify, scoring
 from forumlens.plans.registry import query
 from forumlens.plans.views import PREDICTIONS, THREADS, labelled_docs, predictions, r6, table, threads
-from forumlens.session import checkpointed
+from forumlens.session import written
 
 SEED = classify.SEED
 
@@ -129,7 +129,8 @@ curve AS (SELECT classifier, score, pos, neg, sum(pos) OVER w::BIGINT AS tp, sum
 
 @query("W8", sql=f"WITH {CURVE} SELECT classifier, score, tp, fp FROM curve")
 def threshold_counts(spark, folder):
-    return scoring.threshold_counts(predictions(spark, folder))
+    counts = scoring.score_counts(predictions(spark, folder))
+    return scoring.threshold_counts(counts).select("classifier", "score", "tp", "fp")
 
 
 @query(
@@ -154,7 +155,7 @@ def roc_curve(spark, folder):
     SELECT classifier, score, round(precision, 6) AS precision, round(recall, 6) AS recall, round(baseline, 6) AS baseline FROM points""",
 )
 def precision_recall_curve(spark, folder):
-    return scoring.pr_curve(predictions(spark, folder)).withColumns({c: r6(c) for c in ("precision", "recall", "baseline")})
+    return scoring.pr_curve(predictions(spark, folder)).drop("auc").withColumns({c: r6(c) for c in ("precision", "recall", "baseline")})
 
 
 @query(
@@ -166,7 +167,7 @@ def precision_recall_curve(spark, folder):
     SELECT classifier, round(sum((r - r2) * (p + p2) / 2), 6) AS auc FROM next WHERE p2 IS NOT NULL GROUP BY classifier""",
 )
 def precision_recall_area(spark, folder):
-    return scoring.pr_auc(predictions(spark, folder)).withColumn("auc", r6("auc"))
+    return scoring.pr_curve(predictions(spark, folder)).select("classifier", r6("auc").alias("auc")).distinct()
 
 
 # ---- fold scores, ranks, result table --------------------------------------------
@@ -277,7 +278,7 @@ LIMIT = 1000
 def prepared(spark, folder):
     """Labelled documents as word arrays, split into training folds and hold-out."""
     docs = labelled_docs(spark, folder).select("doc_id", "y", T.tokens(F.col("text")).alias("words"))
-    split = checkpointed(classify.hold_out_split(docs))
+    split = written(classify.hold_out_split(docs))
     train = split.where(~F.col("hold_out")).drop("hold_out")
     return train, split.where("hold_out").drop("hold_out")
 
@@ -285,7 +286,7 @@ def prepared(spark, folder):
 def scored_hold_out(spark, folder, point):
     train, held = prepared(spark, folder)
     fitted, test, model = classify.featurise(train, held, point.max_features, point.longest)
-    return classify.fit_point(point, checkpointed(fitted), test)
+    return classify.fit_point(point, written(fitted), test)
 
 
 @query("K4", "K7", "K22")
@@ -317,7 +318,7 @@ def random_forest(spark, folder):
 def top_weighted_features(spark, folder):
     train, held = prepared(spark, folder)
     fitted, test, model = classify.featurise(train, held, LIMIT, 1)
-    svm, _ = classify.fit_point(classify.Point("SVM_linear", LIMIT, 1, {"iterations": 10}), checkpointed(fitted), test)
+    svm, _ = classify.fit_point(classify.Point("SVM_linear", LIMIT, 1, {"iterations": 10}), written(fitted), test)
     rows = classify.top_weighted_features(svm, model.stages[0].vocabulary)
     return spark.createDataFrame(rows, "term STRING, weight DOUBLE")
 
@@ -327,7 +328,7 @@ def grid_search(spark, folder):
     """Mean, spread and rank of every metric over 3 folds for a small grid."""
     train, _ = prepared(spark, folder)
     points = classify.grid("NB", (LIMIT,), (1,)) + classify.grid("LR", (LIMIT,), (1,), C=(1.0,), iterations=(10,))
-    folded = checkpointed(classify.with_folds(train, folds=3))
+    folded = written(classify.with_folds(train, folds=3))
     return classify.grid_results(classify.cross_validate(folded, points))
 
 

@@ -11,7 +11,7 @@ from forumlens.operators import decompose, filters, recall, topics, vocabulary
 from forumlens.plans import terms
 from forumlens.plans.registry import query
 from forumlens.plans.views import CLUSTERS, TF, clusters, r6, seeds, table
-from forumlens.session import checkpointed
+from forumlens.session import written
 
 ROUNDS, SEED = 10, 1
 
@@ -145,7 +145,7 @@ def topic_sweep(spark, folder):
 def topic_coherence(spark, folder):
     """u_mass of the most frequent words of each language, as fixed term lists."""
     docs = terms.clean_documents(spark, folder, "lang")
-    tf = vocabulary.term_table(docs, ["doc_id", "lang"], "clean_text")
+    tf = written(vocabulary.term_table(docs, ["doc_id", "lang"], "clean_text"), "term_table")
     per = tf.groupBy("lang", "term").agg(F.sum("tf").alias("n"))
     top = top_per_language(per)
     return topics.u_mass(tf.select("doc_id", "term"), "doc_id", top).withColumn("u_mass", r6("u_mass"))
@@ -284,7 +284,7 @@ def best_models(spark, folder):
 
 def chosen_members(spark, folder):
     """The best models (one row each, written once) and their members."""
-    models = checkpointed(best(spark, folder))
+    models = written(best(spark, folder))
     return recall.model_members(models, top_cluster_members(spark, folder), top=2), models
 
 

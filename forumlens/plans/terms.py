@@ -19,6 +19,7 @@ from forumlens.plans.views import (
     table,
     threads,
 )
+from forumlens.session import written
 
 MIN_DF, MAX_DF = 10, 0.6
 LIMITS = f"df >= {MIN_DF} AND df <= {MAX_DF} * n.n"
@@ -26,16 +27,21 @@ KEPT = f"""{TF}, vocab AS (SELECT term, df, total FROM freq, n WHERE {LIMITS}),
 kept AS (SELECT tf.doc_id, tf.term, tf.tf, v.df FROM tf JOIN vocab v ON v.term = tf.term)"""
 
 
-def counted(spark, folder):
-    """(documents, term table, document frequencies, number of documents)"""
+def counted(spark, folder, keep=False):
+    """(documents, term table, document frequencies, number of documents)
+
+    `keep` writes the term table, for queries that read it more than once.
+    """
     docs = clean_documents(spark, folder)
     tf = vocabulary.term_table(docs, ["doc_id"], "clean_text")
+    if keep:
+        tf = written(tf, "term_table")
     n = table(spark, folder, "documents", "doc_id").select(F.count("*")).scalar()
     return docs, tf, vocabulary.document_frequency(tf), n
 
 
 def kept_terms(spark, folder):
-    docs, tf, freq, n = counted(spark, folder)
+    docs, tf, freq, n = counted(spark, folder, keep=True)
     return docs, vocabulary.join_vocabulary(tf, vocabulary.vocabulary(freq, n, MIN_DF, MAX_DF), ["df"])
 
 
@@ -61,7 +67,7 @@ def binary_vectors(spark, folder):
     SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""",
 )
 def tfidf(spark, folder):
-    _, tf, freq, n = counted(spark, folder)
+    _, tf, freq, n = counted(spark, folder, keep=True)
     weighted = vocabulary.tfidf(tf, ["doc_id"], vocabulary.vocabulary(freq, n, MIN_DF, MAX_DF), n)
     return weighted.withColumn("tfidf", r6("tfidf"))
 
@@ -85,7 +91,7 @@ def empty_documents(spark, folder):
     n.n - (SELECT count(DISTINCT doc_id) FROM kept) AS n_empty FROM n""",
 )
 def vocabulary_summary(spark, folder):
-    docs, tf, _, _ = counted(spark, folder)
+    docs, tf, _, _ = counted(spark, folder, keep=True)
     return vocabulary.vocabulary_summary(docs.select("doc_id"), "doc_id", tf, MIN_DF, MAX_DF)
 
 
@@ -125,7 +131,7 @@ def vocabulary_sweep(spark, folder):
     SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM vocab) GROUP BY doc_id, term""",
 )
 def bag_of_words(spark, folder):
-    docs, _, freq, n = counted(spark, folder)
+    docs, _, freq, n = counted(spark, folder, keep=True)
     return vocabulary.bag_of_words(docs, "doc_id", "clean_text", vocabulary.vocabulary(freq, n, MIN_DF, MAX_DF))
 
 

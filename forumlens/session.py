@@ -1,8 +1,9 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,28 +32,34 @@ def build_session(app: str = "forumlens", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's `spark.checkpoint.dir`; make one only in local mode.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written intermediate tables.
 
-    A machine-local folder would lose checkpoints with its machine, so on a
-    cluster without the setting this raises instead of inventing one.
+    It is the cluster's `spark.checkpoint.dir`. Only in local mode, and only
+    where that is unset, one is made: on a cluster a machine-local folder would
+    be lost with its machine, so there this raises.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="forumlens-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="forumlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it from there.
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Used before loops that read one input many times: a lost executor then
-    re-reads a file instead of re-running the text work behind it.
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` once as a table in the shared folder and read it from there.
+
+    Used where a costly input is read several times: it is computed once, a
+    lost executor re-reads files instead of redoing the text work, later reads
+    take only their columns, and the planner knows the table's size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
