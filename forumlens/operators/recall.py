@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forumlens.functions.numbers import quotient
 from forumlens.functions.text import model_key, pair_key
 from forumlens.operators import filters
 from forumlens.operators.ranking import rank_by_draw
@@ -64,7 +65,7 @@ def recall_rounds(
     per_n = [
         F.struct(
             F.lit(n).alias("n"),
-            F.bround(F.col(f"tp{n}") / F.col("all_held_out"), 4).alias("recall"),
+            quotient(F.col(f"tp{n}"), F.col("all_held_out"), 4).alias("recall"),
             F.col(f"total{n}").alias("total"),
         )
         for n in range(1, TOP + 1)
@@ -77,7 +78,10 @@ def cluster_recall(labels: DataFrame, seeds: DataFrame, rounds: int = 50, seed:
     return (
         recall_rounds(labels, seeds, rounds, seed, key)
         .groupBy(*MODEL, "n")
-        .agg(F.bround(F.avg("recall"), 4).alias("average_recall"), F.bround(F.avg("total"), 4).alias("total_subs"))
+        .agg(
+            quotient(F.sum(F.bround(F.col("recall") * 10_000, 0)), F.count("*") * 10_000, 4).alias("average_recall"),
+            quotient(F.sum("total"), F.count("*"), 4).alias("total_subs"),
+        )
     )
 
 

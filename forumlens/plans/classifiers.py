@@ -112,7 +112,7 @@ def classification_report(spark, folder):
       UNION ALL SELECT classifier, 0, 1, 'fp', fp, tn + fp FROM cells
       UNION ALL SELECT classifier, 1, 0, 'fn', fn, fn + tp FROM cells
       UNION ALL SELECT classifier, 1, 1, 'tp', tp, fn + tp FROM cells)
-    SELECT classifier, y, yhat, cell, n, round_even(coalesce(n / nullif(total, 0)::DOUBLE, 0), 2) AS normalised FROM grid""",
+    SELECT classifier, y, yhat, cell, n, coalesce(round_even(n * 100.0::DOUBLE / nullif(total, 0), 0) / 100, 0) AS normalised FROM grid""",
 )
 def confusion_matrix(spark, folder):
     return scoring.confusion_matrix(predictions(spark, folder), "classifier")

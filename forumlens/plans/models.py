@@ -205,10 +205,11 @@ sizes AS (SELECT method, k, cluster, count(*) AS size FROM clusters GROUP BY ALL
 best AS (SELECT c.*, z.size, CASE WHEN n_seeds > 0 THEN row_number() OVER (PARTITION BY c.method, c.k, c.round ORDER BY n_seeds DESC, c.cluster) END AS pos
          FROM counts c JOIN sizes z USING (method, k, cluster)),
 per_round AS (SELECT method, k, round, CAST(n AS INTEGER) AS n,
-                     round_even(sum(CASE WHEN pos <= n THEN held_out ELSE 0 END)::DOUBLE / sum(held_out), 4) AS recall,
+                     round_even(sum(CASE WHEN pos <= n THEN held_out ELSE 0 END) * 10000.0::DOUBLE / sum(held_out), 0) / 10000 AS recall,
                      sum(CASE WHEN pos <= n THEN size ELSE 0 END)::BIGINT AS total
               FROM best, (SELECT unnest([1, 2, 3]) AS n) GROUP BY method, k, round, n),
-recall AS (SELECT method, k, n, round_even(avg(recall), 4) AS average_recall, round_even(avg(total), 4) AS total_subs
+recall AS (SELECT method, k, n, round_even(sum(round_even(recall * 10000, 0)) / count(*), 0) / 10000 AS average_recall,
+                  round_even(sum(total) * 10000.0::DOUBLE / count(*), 0) / 10000 AS total_subs
            FROM per_round GROUP BY method, k, n)"""
 
 
