@@ -45,16 +45,20 @@ TREE_DEPTH = 30  # the deepest Spark grows
 
 
 def hold_out_split(df: DataFrame, key: str = "doc_id", label: str = "y", share: float = HOLD_OUT, seed: int = SEED):
-    """Adds `hold_out`: `share` of every class, drawn by key."""
-    ranked = rank_by_draw(df, [label], key, seed)
+    """Adds `hold_out`: `share` of every class, drawn by key.
+
+    Only keys and labels are ranked; the texts are joined once, by key.
+    """
+    ranked = rank_by_draw(df.select(key, label), [label], key, seed)
     totals = df.groupBy(label).agg(F.bround(F.count("*") * F.lit(share), 0).alias("__n"))
-    return ranked.join(totals, label).withColumn("hold_out", F.col("rank") <= F.col("__n")).drop("rank", "__n")
+    flags = ranked.join(totals, label).select(key, (F.col("rank") <= F.col("__n")).alias("hold_out"))
+    return df.join(flags, key)
 
 
 def with_folds(df: DataFrame, key: str = "doc_id", label: str = "y", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds `fold` 0..folds-1, every class dealt out evenly."""
-    ranked = rank_by_draw(df, [label], key, seed)
-    return ranked.withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).drop("rank")
+    ranked = rank_by_draw(df.select(key, label), [label], key, seed)
+    return df.join(ranked.select(key, ((F.col("rank") - 1) % folds).cast("int").alias("fold")), key)
 
 
 def balanced_weights(df: DataFrame, label: str = "y", weight: str = "weight") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forumlens.functions import text as T
 from forumlens.functions.keys import location_prefix
 from forumlens.operators import filters
-from forumlens.operators.ranking import sample_per_group
+from forumlens.operators.ranking import sample_per_group, sampled_rows
 
 # Fixed values of the seed page.
 SEED_MARKER = "**Other health related subreddits**"
@@ -165,12 +165,13 @@ def sampled_posts(posts: DataFrame, communities: DataFrame, n: int, seed: int, g
     return drawn.join(communities.select(group, "sub_url"), group, "left")
 
 
-def community_corpus(posts: DataFrame, sample: DataFrame, group: str = "subreddit") -> DataFrame:
+def community_corpus(posts: DataFrame, sample: DataFrame, seed: int, group: str = "subreddit") -> DataFrame:
     """One row per community: its sampled posts as one text, and their ids.
 
-    A community has as many posts here as the sample drew, so its row is bounded.
+    `sample` is a written `sampled_posts` table drawn with `seed`. A community
+    has as many posts here as the sample drew, so its row is bounded.
     """
-    texts = filters.members(posts, "fullname", sample).select(
+    texts = sampled_rows(posts, sample, group, "fullname", seed).select(
         group, "fullname", T.title_and_body(F.col("title"), F.col("selftext")).alias("concat_text")
     )
     return texts.groupBy(group).agg(

@@ -16,6 +16,7 @@ from forumlens.functions import text as T
 
 # Fixed value: relative slack when comparing table probabilities.
 SLACK = 1e-7
+RARE = 200
 _TAIL_STOP = 1e-17
 _BLOCK = 1024
 
@@ -122,15 +123,22 @@ def _fisher(pos_in: pd.Series, neg_in: pd.Series, pos: pd.Series, neg: pd.Series
 
 
 def with_p_values(ngrams: DataFrame, total_pos: Column, total_neg: Column) -> DataFrame:
-    """Attach Fisher's p-value.
+    """Attach Fisher's p-value. Pass a table that is cheap to read again.
 
     It depends on the two document frequencies only, and most n-grams share
-    theirs with many others, so it is computed once per distinct pair.
+    theirs with many others, so it is computed once per distinct pair. Rare
+    n-grams crowd on the few smallest pairs: those pairs (at most
+    RARE * RARE / 2) are broadcast, all others are joined by shuffle.
     """
     pair = ["1_doc_freq", "0_doc_freq"]
-    pairs = ngrams.select(*pair).distinct()
+    rare = F.col("1_doc_freq") + F.col("0_doc_freq") <= RARE
     p = _fisher(*[F.col(c) for c in pair], total_pos, total_neg)
-    return ngrams.join(pairs.withColumn("p_value", p), pair)
+
+    def tested(part: DataFrame) -> DataFrame:
+        return part.select(*pair).distinct().withColumn("p_value", p)
+
+    few, many = ngrams.where(rare), ngrams.where(~rare)
+    return few.join(F.broadcast(tested(few)), pair).unionByName(many.join(tested(many), pair))
 
 
 def significant(ngrams: DataFrame, p_value: float = 0.05, longest: int = 3) -> DataFrame:

@@ -86,15 +86,18 @@ def cluster_recall(labels: DataFrame, seeds: DataFrame, rounds: int = 50, seed:
 
 
 def recall_matrix(recall: DataFrame) -> DataFrame:
-    """One row per model: recall and size at 1..3, joined from two pivots."""
-    keyed = recall.withColumn("key", model_key(F.col("method"), F.col("min_df"), F.col("max_df"), F.col("k")))
-    ns = list(range(1, TOP + 1))
-
-    def wide(value: str, suffix: str) -> DataFrame:
-        table = keyed.groupBy("key").pivot("n", ns).agg(F.first(value))
-        return table.select("key", *[F.col(str(n)).alias(f"{n}_{suffix}") for n in ns])
+    """One row per model: recall and size at 1..3.
 
-    return wide("average_recall", "av_recall").join(wide("total_subs", "av_subs"), "key", "full")
+    One aggregate makes both pivots, which have the same keys, so there is
+    nothing left to join.
+    """
+    keyed = recall.withColumn("key", model_key(F.col("method"), F.col("min_df"), F.col("max_df"), F.col("k")))
+    columns = [
+        F.max(F.when(F.col("n") == n, F.col(value))).alias(f"{n}_{suffix}")
+        for value, suffix in (("average_recall", "av_recall"), ("total_subs", "av_subs"))
+        for n in range(1, TOP + 1)
+    ]
+    return keyed.groupBy("key").agg(*columns)
 
 
 def top_cluster_members(labels: DataFrame, seeds: DataFrame, key: str = "doc_id") -> DataFrame:

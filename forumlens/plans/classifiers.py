@@ -286,7 +286,7 @@ def prepared(spark, folder):
 def scored_hold_out(spark, folder, point):
     train, held = prepared(spark, folder)
     fitted, test, model = classify.featurise(train, held, point.max_features, point.longest)
-    return classify.fit_point(point, written(fitted), test)
+    return classify.fit_point(point, written(fitted, "train"), written(test, "test"))
 
 
 @query("K4", "K7", "K22")

@@ -232,7 +232,8 @@ def top_clusters(spark, folder):
 def recall_table(spark, folder):
     labels = clusters(spark, folder)
     params = labels.select("method", "k", "min_df", "max_df").distinct()
-    return recall.cluster_recall(labels, seeds(spark, folder), ROUNDS, SEED).join(params, ["method", "k"])
+    scores = recall.cluster_recall(labels, seeds(spark, folder), ROUNDS, SEED).join(params, ["method", "k"])
+    return written(scores, "recall")
 
 
 PARAMS = "params AS (SELECT DISTINCT method, k, min_df, max_df, method || '_' || min_df || '_' || max_df || '_' || k AS key FROM clusters)"
@@ -285,7 +286,7 @@ def best_models(spark, folder):
 
 def chosen_members(spark, folder):
     """The best models (one row each, written once) and their members."""
-    models = written(best(spark, folder))
+    models = written(best(spark, folder), "best_models")
     return recall.model_members(models, top_cluster_members(spark, folder), top=2), models
 
 

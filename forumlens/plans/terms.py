@@ -236,7 +236,8 @@ def class_totals(spark, folder):
 
 
 def tested_ngrams(spark, folder):
-    return ngrams.with_p_values(document_ngrams(spark, folder), *class_totals(spark, folder))
+    counted_ngrams = written(document_ngrams(spark, folder), "ngrams")
+    return ngrams.with_p_values(counted_ngrams, *class_totals(spark, folder))
 
 
 @query("V3", "A9", sql=f"WITH {GRAMS} SELECT * FROM gram_freq")

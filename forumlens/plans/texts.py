@@ -37,6 +37,7 @@ from forumlens.plans.views import (
     table,
     threads,
 )
+from forumlens.session import written
 
 SAMPLE = 10
 SEED = 1
@@ -376,7 +377,8 @@ community_corpus AS (
 
 
 def community_texts(spark, folder):
-    return corpus.community_corpus(submissions(spark, folder), post_sample(spark, folder))
+    sample = written(post_sample(spark, folder), "post_sample")
+    return corpus.community_corpus(submissions(spark, folder), sample, SEED)
 
 
 @query("C2", sql=f"WITH {COMMUNITY_CORPUS} SELECT subreddit, text, array_to_string(posts, ' ') AS posts FROM community_corpus")

@@ -15,15 +15,15 @@ from forumlens.operators.ranking import row_index
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A parquet table (one file or a folder of files, concatenated).
 
-    A table of fewer files than cores is spread over the cores, because one
-    row group cannot be split and the text work on it would run in one task.
-    Tables of many files are read as they lie, with no shuffle.
+    A table with fewer splits than two per core is spread over the cores,
+    because a row group cannot be split further and the text work on it would
+    run in a few tasks. Larger tables are read as they lie, with no shuffle.
     """
     df = spark.read.parquet(path)
     if columns is not None:
         df = df.select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
