@@ -121,8 +121,9 @@ def with_thread_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def extremes(df: DataFrame, column: str) -> DataFrame:
-    """All rows equal to the smallest or largest value."""
-    low, high = df.select(F.min(column)).scalar(), df.select(F.max(column)).scalar()
+    """All rows equal to the smallest or largest value. Reads `df` twice."""
+    ends = df.select(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     which = F.when(F.col(column) == low, "min").otherwise("max")
     return df.where((F.col(column) == low) | (F.col(column) == high)).withColumn("extreme", which)
 

@@ -170,9 +170,13 @@ def member_matrix(chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def member_share(chosen: DataFrame, best: DataFrame, column: str) -> DataFrame:
-    """Percentage of the best models that hold each member."""
+    """Percentage of the best models that hold each member.
+
+    A model puts a document in one cluster, so (key, member) is unique and
+    counting rows counts models.
+    """
     n_models = best.select(F.count("*")).scalar()
-    return chosen.groupBy("member").agg((F.count_distinct("key") * F.lit(100.0) / n_models).alias(column))
+    return chosen.groupBy("member").agg((F.count("*") * F.lit(100.0) / n_models).alias(column))
 
 
 def member_shares(chosen: DataFrame, best: DataFrame) -> DataFrame:
@@ -187,7 +191,7 @@ def member_shares(chosen: DataFrame, best: DataFrame) -> DataFrame:
         return F.col(value) if method is None else F.when(F.col("method") == method, F.col(value))
 
     totals = {name: best.select(F.count(of(method, "key"))).scalar() for name, method in names.items()}
-    held = chosen.groupBy("member").agg(*[F.count_distinct(of(method, "key")).alias(n) for n, method in names.items()])
+    held = chosen.groupBy("member").agg(*[F.count(of(method, "key")).alias(n) for n, method in names.items()])
     shares = [
         F.when(F.col(f"`{name}`") > 0, F.col(f"`{name}`") * F.lit(100.0) / total).alias(name)
         for name, total in totals.items()

@@ -162,6 +162,7 @@ SVD_SIZE = 10
 
 def document_vectors(spark, folder, max_features=1000):
     docs = clean_documents(spark, folder).select("doc_id", T.tokens(F.col("clean_text")).alias("words"))
+    docs = written(docs, "words")
     model = vocabulary.fit_vectoriser(docs, "words", MIN_DF, MAX_DF, max_features)
     return vocabulary.vectorise(model, docs).select("doc_id", "counts", "features"), model
 

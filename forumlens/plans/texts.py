@@ -225,7 +225,7 @@ def thread_clean(spark, folder):
     SELECT c.doc_id, coalesce(k.t, '') AS t FROM clean c LEFT JOIN kept k ON k.doc_id = c.doc_id""",
 )
 def remove_excluded_words(spark, folder):
-    docs = clean_documents(spark, folder)
+    docs = written(clean_documents(spark, folder), "clean")
     n = docs.select(F.count("*")).scalar()
     freq = vocabulary.document_frequency(vocabulary.term_table(docs, ["doc_id"], "clean_text"))
     stops = vocabulary.excluded_terms(freq, n, 3, 0.6)
@@ -307,7 +307,7 @@ def describe_strings(spark, folder):
 )
 def extreme_documents(spark, folder):
     counted = corpus.with_word_counts(clean_documents(spark, folder)).select("doc_id", "distinct_word_count")
-    return corpus.extremes(counted, "distinct_word_count")
+    return corpus.extremes(written(counted, "word_counts"), "distinct_word_count")
 
 
 @query(

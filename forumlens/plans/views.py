@@ -17,7 +17,7 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "que", "le
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", columns or None)
+    return read_table(spark, f"{folder}/{name}.parquet", columns or None, spread=bool({"text", "html"} & set(columns)))
 
 
 def r6(c: Column | str) -> Column:

@@ -12,18 +12,21 @@ from pyspark.sql.types import StringType
 from forumlens.operators.ranking import row_index
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, spread: bool = False
+) -> DataFrame:
     """A parquet table (one file or a folder of files, concatenated).
 
-    A table with fewer splits than two per core is spread over the cores,
-    because a row group cannot be split further and the text work on it would
-    run in a few tasks. Larger tables are read as they lie, with no shuffle.
+    With `spread`, meant for texts that are costly to work on, a table of fewer
+    than two splits per core is spread over the cores: a row group cannot be
+    split, so that work would run in a few tasks. Larger tables are read as
+    they lie, with no shuffle.
     """
     df = spark.read.parquet(path)
     if columns is not None:
         df = df.select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
