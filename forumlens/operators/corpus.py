@@ -41,10 +41,11 @@ def value_counts(df: DataFrame, *columns: str, count: str = "count") -> DataFram
 
 
 def describe(df: DataFrame, column: str, *groups: str) -> DataFrame:
-    """count, mean, std, min, quartiles (interpolated), max.
+    """count, mean, std, min, quartiles (interpolated), max of a column of counts.
 
     Equal values are counted first, so the exact quartiles work on distinct
-    values with frequencies instead of on all rows.
+    values with frequencies instead of on all rows. Word and character counts
+    have at most as many distinct values as the longest document has words.
     """
     freq = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("n"))
     x, n = F.col(column).cast("double"), F.col("n")

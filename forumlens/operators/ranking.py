@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from forumlens.functions.keys import draw_key
 
 DRAW_DIGITS = 3  # 16**3 buckets per group
-RANGE_BUCKETS = 128
+RANGE_BUCKETS = 256
 BROADCAST_GROUPS = 1_000_000  # rows of about 100 bytes
 
 

@@ -52,14 +52,28 @@ def elbow_table(spark, folder):
     return total.withColumn("inertia", F.round("inertia", 4))
 
 
-@query("M4")
+def silhouette_sql(points: str) -> str:
+    """Mean silhouette over (id, c, v) rows of `points`, from all pairs."""
+    return f"""SELECT avg((b - a) / greatest(a, b)) FROM (
+      SELECT id, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM (
+        SELECT x.id, x.c = y.c AS own, y.c, sum(list_cosine_distance(x.v, y.v)) / count(*) FILTER (x.id <> y.id) AS d
+        FROM {points} x, {points} y GROUP BY x.id, x.c = y.c, y.c) GROUP BY id)"""
+
+
+@query(
+    "M4",
+    sql=f"""WITH {DISTANCES},
+    by_features AS (SELECT vec_id AS id, label AS c, embedding::DOUBLE[] AS v FROM embeddings),
+    by_distances AS (SELECT vec_id AS id, label AS c, list(d ORDER BY c) AS v FROM distances GROUP BY vec_id, label)
+    SELECT round(({silhouette_sql('by_distances')}), 6) AS on_distances, round(({silhouette_sql('by_features')}), 6) AS on_features""",
+)
 def cosine_silhouette(spark, folder):
     """On the distances, as in the original, and on the vectors."""
     measured, _ = with_distances(spark, folder)
-    return spark.createDataFrame(
-        [(C.silhouette(measured, "distances", "label"), C.silhouette(measured, "embedding", "label"))],
-        "on_distances DOUBLE, on_features DOUBLE",
-    )
+    measured = written(measured, "distances")
+    scores = (C.silhouette(measured, "distances", "label"), C.silhouette(measured, "embedding", "label"))
+    both = spark.createDataFrame([scores], "on_distances DOUBLE, on_features DOUBLE")
+    return both.select(r6("on_distances").alias("on_distances"), r6("on_features").alias("on_features"))
 
 
 @query(

@@ -37,7 +37,7 @@ def concatenated_files(spark, folder):
     return d.select(filters.fullname(F.col("doc_id").cast("string")).alias("fullname"), F.col("source").alias("subreddit"))
 
 
-@query("S9")
+@query("S9", sql="SELECT 'documents.parquet' AS source_file, count(*) AS n FROM documents")
 def source_file_column(spark, folder):
     d = tables.with_source_file(spark.read.parquet(f"{folder}/documents.parquet"))
     return d.groupBy("source_file").agg(F.count("*").alias("n"))

@@ -182,12 +182,19 @@ def explained_variance(spark, folder):
     return decompose.explained_variance(vectors, "features", coordinates, "svd")
 
 
-@query("V5", "K4")
+@query(
+    "V5",
+    "V9",
+    sql=f"""WITH {TF}, vocab AS (SELECT term, df FROM freq, n WHERE {LIMITS} ORDER BY total DESC, term LIMIT 1000),
+    w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM tf JOIN vocab v ON v.term = tf.term, n)
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""",
+)
 def ml_tfidf_vectors(spark, folder):
-    """The same weights as ML vectors over a bounded vocabulary."""
-    vectors, _ = document_vectors(spark, folder)
-    x = vector_to_array("features")
-    return vectors.select("doc_id", F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)).alias("length"))
+    """The same weights as ML vectors over the 1,000 most frequent features."""
+    vectors, model = document_vectors(spark, folder)
+    words = F.array(*[F.lit(w) for w in model.stages[0].vocabulary])
+    long = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("at", "x")).where(F.col("x") > 0)
+    return long.select("doc_id", F.get(words, F.col("at")).alias("term"), r6("x").alias("tfidf"))
 
 
 # ---- n-grams ---------------------------------------------------------------------

@@ -36,6 +36,10 @@ def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
     The schema is always given, so only named fields are parsed and nothing is
     read twice to infer types. Lines that are no JSON come back as null rows
     with their text in `_corrupt_record`.
+
+    A compressed file is one split, parsed by one task. Filter it and write the
+    rows as parquet once (`tables.load_or_compute`, or the file stream) before
+    any text work, which then runs on all splits of that table.
     """
     reject_xz(path)
     fields = StructType.fromDDL(schema).add(CORRUPT, "string")
