@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 from forumlens.functions import text as T
 from forumlens.operators import classify, scoring
 from forumlens.plans.registry import query
-from forumlens.plans.views import PREDICTIONS, THREADS, labelled_docs, predictions, r6, table, threads
+from forumlens.plans.views import (
+    LABELLED_DOCS,
+    PREDICTIONS,
+    SQL_TOKENS,
+    THREADS,
+    labelled_docs,
+    predictions,
+    r6,
+    table,
+    threads,
+)
 from forumlens.session import written
 
 SEED = classify.SEED
+LIMIT = 1000
 
 RANKED = f"""ranked AS (SELECT doc_id, toxic AS y, count(*) OVER (PARTITION BY toxic) AS n,
   row_number() OVER (PARTITION BY toxic ORDER BY md5('{SEED}:' || doc_id), doc_id) AS r FROM labels)"""
@@ -272,9 +283,6 @@ def text_keyed_join(spark, folder):
 
 # ---- learned classifiers ---------------------------------------------------------
 
-LIMIT = 1000
-
-
 def prepared(spark, folder):
     """Labelled documents as word arrays, split into training folds and hold-out."""
     docs = labelled_docs(spark, folder).select("doc_id", "y", T.tokens(F.col("text")).alias("words"))
@@ -289,9 +297,36 @@ def scored_hold_out(spark, folder, point):
     return classify.fit_point(point, written(fitted, "train"), written(test, "test"))
 
 
-@query("K4", "K7", "K22")
+NAIVE_BAYES = f"""{LABELLED_DOCS}, {RANKED},
+split AS (SELECT d.doc_id, d.y, k.r <= round_even(k.n * 0.15::DOUBLE, 0) AS held, {SQL_TOKENS.format('d.text')} AS w
+          FROM labelled_docs d JOIN ranked k ON k.doc_id = d.doc_id),
+grams AS (SELECT doc_id, y, held, unnest(w) AS g FROM split UNION ALL
+          SELECT doc_id, y, held, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM split),
+tf AS (SELECT doc_id, y, held, g, count(*) AS tf FROM grams GROUP BY ALL),
+vocab AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tf WHERE NOT held GROUP BY g HAVING count(*) >= 2
+          ORDER BY total DESC, g LIMIT {LIMIT}),
+n AS (SELECT count(*) AS n FROM split WHERE NOT held),
+weights AS (SELECT tf.doc_id, tf.y, tf.held, tf.g, tf.tf * (ln((1.0 + n.n) / (1.0 + v.df)) + 1.0) AS w FROM tf JOIN vocab v ON v.g = tf.g, n),
+x AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM weights),
+classes AS (SELECT g, c, df FROM vocab, (SELECT unnest([0, 1]) AS c)),
+sums AS (SELECT v.g, v.c, coalesce(sum(x.x) FILTER (x.y <> v.c), 0) AS s FROM classes v
+         LEFT JOIN x ON x.g = v.g AND NOT x.held GROUP BY v.g, v.c),
+theta AS (SELECT g, c, ln(s + 1.0) - ln(sum(s) OVER (PARTITION BY c) + count(*) OVER (PARTITION BY c)) AS t FROM sums),
+scores AS (SELECT s.doc_id, s.y, coalesce(sum(x.x * t.t) FILTER (t.c = 0), 0) AS t0, coalesce(sum(x.x * t.t) FILTER (t.c = 1), 0) AS t1
+           FROM split s LEFT JOIN x ON x.doc_id = s.doc_id LEFT JOIN theta t ON t.g = x.g WHERE s.held GROUP BY s.doc_id, s.y)"""
+
+
+@query(
+    "K4",
+    "K7",
+    "K22",
+    sql=f"""WITH {NAIVE_BAYES} SELECT doc_id, 'NB' AS classifier, y, CASE WHEN t1 < t0 THEN 1 ELSE 0 END AS yhat,
+    round(1 / (1 + exp(t1 - t0)), 6) AS score FROM scores""",
+)
 def naive_bayes(spark, folder):
-    return scored_hold_out(spark, folder, classify.Point("NB", LIMIT, 2))[1]
+    """Complement naive Bayes on uni- and bigrams, fitted without the hold-out."""
+    scored = scored_hold_out(spark, folder, classify.Point("NB", LIMIT, 2))[1]
+    return scored.withColumn("score", r6("score"))
 
 
 @query("K8", "K22")
