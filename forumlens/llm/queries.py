@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import packing
+from forumlens.llm import decontamination, packing
 from forumlens.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
     return pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_passages(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(
+        "doc_id",
+        F.col("bench_n_words").alias("n_words"),
+        decontamination.hit_words().alias("n_hit"),
+        F.size("bench_item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("bench_item_ids", ","), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
