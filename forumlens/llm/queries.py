@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, packing
+from forumlens.llm import decontamination, packing, repeats
 from forumlens.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
 
 
+@query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that are left after cutting repeated windows of 35 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = repeats.remove_repeats(docs, "text")
+    return cut.select(
+        "doc_id",
+        F.col("rep_n_words").alias("n_words"),
+        F.col("rep_n_removed").alias("n_removed"),
+        F.sha2("rep_kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items of each document."""
