@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, packing, repeats
+from forumlens.llm import decontamination, near_duplicates, packing, repeats
 from forumlens.llm.batches import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("bench_item_ids", ","), 256).alias("items_sha256"),
         decontamination.contaminated().alias("contaminated"),
     )
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar to 0.8 or more."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2)
