@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, near_duplicates, packing, repeats
-from forumlens.llm.batches import table
+from forumlens.llm import decontamination, language, near_duplicates, packing, repeats
+from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -69,3 +69,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are similar to 0.8 or more."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2)
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a network that has seen three quarters of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_hash("doc_id") % 4 == 2
+    net = language.train(docs.where(~held_out), "doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), "text", net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
