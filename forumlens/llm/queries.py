@@ -79,3 +79,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language.train(docs.where(~held_out), "doc_id", "text", "lang")
     found = language.identify(docs.select("doc_id", "text"), "text", net)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of `corpus_pipeline` over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
