@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, fingerprints, language, near_duplicates, packing, repeats
+from forumlens.llm import decontamination, fingerprints, language, language_model, near_duplicates, packing, repeats
 from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,24 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_hash("doc_id") % 5 == 1
+    model = language_model.fit(docs.where(~held_out), "text")
+    scored = language_model.score(docs.select("doc_id", "text"), "text", model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("lm_tokens").alias("n_tokens"),
+        F.col("lm_known").alias("n_known"),
+        language_model.train_tokens(model).alias("train_tokens"),
+        F.col("lm_base_score").alias("base_score"),
+        F.col("lm_score").alias("score"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of `corpus_pipeline` over the documents."""
