@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, extraction, fingerprints, language, language_model, near_duplicates, packing, repeats
+from forumlens.llm import decontamination, extraction, fingerprints, language, language_model, near_duplicates, packing, quality, repeats
 from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", size=2)
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each document is good and that it is toxic, from its words, source and language within it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.classify(docs, "doc_id", "text", "source", "lang", labels, ["quality", "toxic"])
+    keep = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
+    return scored.drop("source", "lang").withColumn("keep", keep)
+
+
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document by a network that has seen three quarters of the labels."""
