@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlens.llm.batches import FOLD, U64, mix, slices, split_words
+from forumlens.llm.batches import FOLD, U64, mix, ragged, slices, split_words
 from forumlens.llm.components import components
 from forumlens.session import written
 
 BANDS, ROWS = 32, 5
-CENTRES = 2  # documents of a bucket that all others are compared with first
 CHUNK = 256  # signatures compared at a time with as many others
+CHUNK_KEYS = 1 << 17  # keys of full sets compared at a time with as many others
 
 _draw = np.random.default_rng(6)
 SCALE = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
@@ -124,75 +124,114 @@ def sets_of(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _agreeing(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least that share of places."""
+def _agreeing(pairs: DataFrame, signed: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the similarity and whose signatures agree in at least that share of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-            some = pa.array((a == b).mean(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(some)
+            a, b = (_signatures(batch.column(c).to_pylist()) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
 
     a = signed.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
     b = signed.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    sized = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 80 * greatest(na, nb)" if least else "true")
+    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs inside a bucket whose documents are in different components and whose signatures agree.
+def _signatures(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint32).reshape(-1, BANDS * ROWS)
 
-    `members` has (bucket, node, component, signature) of buckets with several
-    components. Members outside a bucket's main component are compared with all
-    the bucket's members, both cut into chunks of about `CHUNK` rows.
-    """
-    main = members.groupBy("bucket").agg(
-        F.min_by("component", F.xxhash64("component")).alias("main"), F.count("*").alias("size")
-    )
-    rows = members.join(main, "bucket")
 
-    def chunks(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        count = of.groupBy("bucket").agg(F.count("*").alias("rows"))
-        number = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / CHUNK))
-        packed = F.collect_list(F.struct("node", "component", "signature")).alias(name)
-        return rows.join(count, "bucket").groupBy("bucket", number.alias(f"{name}_chunk")).agg(packed)
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    n = (F.size("sa") + F.size("sb")).cast("long")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", n.alias("n"), common.alias("c"))
+    return both.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
+
+
+def _chunked(rows: DataFrame, key: str, weight: Column, limit: int, columns: list[str], name: str) -> DataFrame:
+    """Rows of each key in lists of about `limit` of summed weight: (key, <name>_chunk, <name>)."""
+    total = rows.groupBy(key).agg(F.sum(weight).alias("total"))
+    number = F.pmod(F.xxhash64("node", F.lit(77)), F.ceil(F.col("total") / limit)).alias(f"{name}_chunk")
+    dealt = rows.join(total, key).select(key, number, *columns).repartition(key, f"{name}_chunk")
+    return dealt.groupBy(key, f"{name}_chunk").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _links_into(attached: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A link from each attached node into the component it is attached to, if there is any.
+
+    `attached` has (target, node), `members` (target, node). Both sides come in
+    chunks of full sets; a task compares two chunks and gives back at most one
+    link for each attached node, since more say nothing new about components.
+    """
+    sized = sets.withColumn("weight", F.size("shingles").cast("long"))
+    sides = [
+        _chunked(rows.join(sized, "node"), "target", F.col("weight"), CHUNK_KEYS, ["node", "shingles"], name)
+        for rows, name in ((attached, "l"), (members.join(attached.select("target").distinct(), "target", "left_semi"), "r"))
+    ]
 
-    outside = rows.where("component <> main")
-    left = chunks(outside, outside, "l")
-    right = chunks(rows, rows, "r")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("l"), batch.column("r")):
+                right = right.values
+                sizes = np.diff(right.field("shingles").offsets.to_numpy(zero_copy_only=False))
+                keys = right.field("shingles").flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(keys, kind="stable")
+                keys, owner = keys[order], owner[order]
+                nodes = right.field("node").to_numpy(zero_copy_only=False)
+                a, b = [], []
+                for node, own in zip(left.values.field("node").to_pylist(), left.values.field("shingles")):
+                    own = own.values.to_numpy(zero_copy_only=False)
+                    low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+                    common = np.bincount(owner[ragged(low, high - low)], minlength=len(sizes))
+                    alike = np.flatnonzero(100 * common >= percent * (sizes + len(own) - common))
+                    if len(alike):
+                        a.append(node)
+                        b.append(int(nodes[alike[0]]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return sides[0].join(sides[1], "target").select("l", "r").mapInArrow(run, "a long, b long")
+
+
+def _across(members: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members that are in different components and whose signatures agree.
+
+    `members` has (bucket, node, component). Chunks of members are compared in a
+    task each; a pair is given out in the first bucket that it shares only.
+    """
+    rows = members.join(signed.select("node", "signature"), "node")
+    columns = ["node", "component", "signature"]
+    left, right = (_chunked(rows, "bucket", F.lit(1), CHUNK, columns, name) for name in ("l", "r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for l_rows, r_rows in zip(batch.column("l"), batch.column("r")):
-                l_rows, r_rows = l_rows.as_py(), r_rows.as_py()
-                read = lambda rows: (
-                    np.array([x["node"] for x in rows]),
-                    np.array([x["component"] for x in rows]),
-                    np.frombuffer(b"".join(x["signature"] for x in rows), np.uint32).reshape(len(rows), -1),
-                )
-                (a, ca, sa), (b, cb, sb) = read(l_rows), read(r_rows)
+            for bucket, same, left, right in zip(*(batch.column(c) for c in ("bucket", "same", "l", "r"))):
+                sides = []
+                for side in (left.values, right.values):
+                    own = _signatures(side.field("signature").to_pylist())
+                    sides.append((*(side.field(c).to_numpy(zero_copy_only=False) for c in columns[:2]), own, band_keys(own)))
+                (a, ca, sa, ba), (b, cb, sb, bb) = sides
                 for i in range(len(a)):
                     some = ((sb == sa[i]).mean(axis=1) >= least) & (cb != ca[i])
-                    if some.any():
-                        other = b[some]
+                    if same.as_py():
+                        some &= a[i] < b
+                    first = np.argmax(bb[some] == ba[i], axis=1) if some.any() else []
+                    found = b[some][ba[i][first] == bucket.as_py()] if len(first) else b[:0]
+                    if len(found):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(other, a[i])), pa.array(np.maximum(other, a[i]))], ["a", "b"]
+                            [pa.array(np.minimum(found, a[i])), pa.array(np.maximum(found, a[i]))], ["a", "b"]
                         )
 
-    return left.join(right, "bucket").select("l", "r").mapInArrow(run, "a long, b long").distinct()
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    common = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("c"))
-    return common.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
+    both = left.join(right, "bucket").where("l_chunk <= r_chunk")
+    return both.select("bucket", (F.col("l_chunk") == F.col("r_chunk")).alias("same"), "l", "r").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, signed_slack: float = 0.18
+    docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, slack: float = 0.18
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept): documents linked over Jaccard similarity of word shingles.
 
@@ -202,14 +241,18 @@ def near_duplicates(
     1. Each node gets `BANDS * ROWS` minima of universal hashes; the bands of
        `ROWS` minima are its buckets. A pair with similarity 0.8 shares no bucket
        with a chance of 3e-6.
-    2. All members of a bucket are compared with the same few members, the least
-       by fixed random orders. A pair goes on if its signatures agree nearly as
-       often as the similarity asks (`signed_slack` below it, five standard
-       errors) and is a link if the full sets confirm it.
-    3. Components come from alternating large-star and small-star.
-    4. Where a bucket still holds several components, its members outside the
-       main one are compared with all its members, in chunks, so no link between
-       components is lost; then components are taken again.
+    2. All members of a bucket are compared with its most popular member (the
+       one whose buckets are fullest, so near the middle of its group) and with
+       one drawn by hash. A pair goes on if its signatures agree nearly as often
+       as the similarity asks (`slack` below it, over five standard errors), and
+       is a link if the full sets confirm it. Components of these links come
+       from alternating large-star and small-star.
+    3. A bucket may still hold several components. Its members outside its
+       largest one are compared with all of that one, on full sets, and with each
+       other, by signature and then on full sets. Tasks compare chunks of
+       members; what they give out is links and the few pairs whose signatures
+       agree, never all pairs. So no link between components that share a
+       bucket is lost. Components are then taken again.
 
     A text of fewer words than `size` is one shingle of all its words. Null and
     empty texts have no shingle and are alone. Equal ids with different texts are
@@ -217,34 +260,40 @@ def near_duplicates(
     document with that id is kept. Null ids are never a component's least id.
     """
     docs = docs.select(id_col, text_col)
-    least = percent / 100 - signed_slack
+    least = percent / 100 - slack
     rows = written(set_keys(docs, id_col, text_col, size), "nodes")
     signed = written(signatures(docs, text_col, size).dropDuplicates(["node"]), "signatures")
     buckets = signed.select("node", F.explode("bands").alias("bucket"))
-    orders = [F.xxhash64("node", F.lit(k)) for k in range(CENTRES)]
-    centres = buckets.groupBy("bucket").agg(
-        F.count("*").alias("size"), *(F.min(F.struct(o.alias("o"), "node"))["node"].alias(f"c{k}") for k, o in enumerate(orders))
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(buckets.join(full, "bucket"), "buckets")
+    popular = shared.join(shared.groupBy("node").agg(F.sum("size").alias("popular")), "node")
+    centres = popular.groupBy("bucket").agg(
+        F.max(F.struct("popular", "node"))["node"].alias("c1"),
+        F.min(F.struct(F.xxhash64("node").alias("o"), "node"))["node"].alias("c2"),
     )
-    shared = written(buckets.join(centres.where("size > 1"), "bucket"), "buckets")
-    starred = shared.select("node", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(CENTRES))))).alias("c"))
-    pairs = starred.where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    pairs = written(_agreeing(pairs, signed, least), "pairs")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        # one text of each node is enough: the least id's, then its set is made again
-        owners = rows.join(used, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col)).select(id_col)
-        sets = sets_of(docs.join(owners.distinct(), id_col, "left_semi"), text_col, size).dropDuplicates(["node"])
-        return written(_linked(pairs, written(sets, "sets"), percent), "links")
-
-    links = confirmed(pairs)
-    found = written(components(links, "a", "b"), "components")
-
-    placed = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    members = placed.join(mixed.select("bucket"), "bucket", "left_semi").join(signed.select("node", "signature"), "node")
-    rest = written(_across(written(members, "mixed"), least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(rest)
+    starred = shared.join(centres, "bucket").select("node", F.explode(F.array("c1", "c2")).alias("c")).where("node <> c")
+    pairs = starred.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    pairs = written(_agreeing(pairs, signed, least, percent), "pairs")
+
+    # one text of each node that shares a bucket is enough: the least id's, from which its set is made again
+    owners = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
+    texts = docs.join(owners.select(id_col).distinct(), id_col, "left_semi")
+    sets = written(sets_of(texts, text_col, size).dropDuplicates(["node"]), "sets")
+    links = written(_linked(pairs, sets, percent), "links")
+    found = components(links, "a", "b")
+    found = written(found.join(found.groupBy("component").agg(F.count("*").alias("members")), "component"), "components")
+
+    own = F.coalesce("component", "node").alias("component")
+    placed = written(shared.join(found, "node", "left").select("bucket", "node", own, F.coalesce("members", F.lit(1)).alias("members")), "placed")
+    mixed = placed.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("members", "component")).alias("main")
+    ).where("lo <> hi")
+    outside = placed.join(mixed.select("bucket", "main"), "bucket").where("component <> main.component or main.members = 1")
+    outside = written(outside.select("bucket", "node", "component", "main"), "outside")
+    attached = outside.where("main.members > 1").select(F.col("main.component").alias("target"), "node").distinct()
+    into = _links_into(attached, found.select(F.col("component").alias("target"), "node"), sets, percent)
+    beside = written(_across(outside, signed, least), "pairs").join(pairs, ["a", "b"], "left_anti")
+    more = into.union(_linked(beside, sets, percent))
     found = written(components(links.union(more), "a", "b"), "components")
 
     named = rows.where("node is not null").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
