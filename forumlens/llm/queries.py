@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, extraction, fingerprints, language, language_model, near_duplicates, packing, quality, repeats
+from forumlens.llm import decontamination, extraction, fingerprints, language, language_model, licenses, near_duplicates, packing, quality, repeats
 from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql=licenses.check_sql())
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence or licence notice in each document that is most like a standard text."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", F.col("lic_name").alias("license"), F.col("lic_dice").alias("dice"))
+
+
 @query
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
