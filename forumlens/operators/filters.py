@@ -63,9 +63,12 @@ COMMENT_FIELDS = [
 ]
 
 
-def present(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """The named fields the table has, in the given order."""
-    return df.select(*[f for f in fields if f in df.columns])
+def only(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The named fields in the given order; a missing one is an error, not a shorter table."""
+    missing = [f for f in fields if f not in df.columns]
+    if missing:
+        raise ValueError(f"fields missing from the records: {', '.join(missing)}")
+    return df.select(*fields)
 
 
 def in_or_null(c: Column, *values) -> Column:
@@ -83,7 +86,7 @@ def fullname(c: Column) -> Column:
 
 
 def filter_communities(df: DataFrame) -> DataFrame:
-    return present(
+    return only(
         df.where(
             ~F.col("over18")
             & in_or_null(F.col("lang"), LANGUAGE)
@@ -95,8 +98,9 @@ def filter_communities(df: DataFrame) -> DataFrame:
 
 
 def submission_rules() -> Column:
+    """Live and not for adults; a record without an author's name is kept."""
     return (
-        (F.col("author") != DELETED_AUTHOR)
+        ~F.col("author").eqNullSafe(F.lit(DELETED_AUTHOR))
         & ~F.col("over_18")
         & not_marker(F.col("title"), TITLE_MARKERS)
         & not_marker(F.col("selftext"), SELFTEXT_MARKERS)
@@ -106,7 +110,7 @@ def submission_rules() -> Column:
 def filter_submissions(df: DataFrame, communities: DataFrame, name: str = "display_name") -> DataFrame:
     """Live submissions of the listed communities, with their derived key."""
     kept = members(df.where(submission_rules()), "subreddit", communities, name)
-    return present(kept.withColumn("fullname", fullname(F.col("id"))), SUBMISSION_FIELDS)
+    return only(kept.withColumn("fullname", fullname(F.col("id"))), SUBMISSION_FIELDS)
 
 
 def comment_rules() -> Column:
@@ -116,7 +120,7 @@ def comment_rules() -> Column:
 
 def filter_comments(df: DataFrame, submissions: DataFrame) -> DataFrame:
     """Top-level live comments on the listed submissions."""
-    return present(members(df.where(comment_rules()), "link_id", submissions, "fullname"), COMMENT_FIELDS)
+    return only(members(df.where(comment_rules()), "link_id", submissions, "fullname"), COMMENT_FIELDS)
 
 
 def members(df: DataFrame, key: str, keys: DataFrame, key_in: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from forumlens.functions.keys import LOCATIONS, location_prefix
 from forumlens.operators import corpus, filters, ranking
 from forumlens.plans.registry import query
 from forumlens.plans.views import COMMUNITIES, SENTENCES, SUBMISSIONS, communities, sentences, submissions, table
+from forumlens.session import new_path
 from forumlens.sources import summaries, tables
 from forumlens.sources.dumps import nested_field
 
@@ -31,10 +32,16 @@ def nul_scrub(spark, folder):
     return tables.scrub_nul(dirty).select("doc_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("S8", sql="SELECT 't3_' || doc_id AS fullname, source AS subreddit FROM documents")
+@query("S8", sql="SELECT 't3_' || doc_id AS fullname, source AS subreddit, 'lang=' || lang AS source_file FROM documents")
 def concatenated_files(spark, folder):
-    d = spark.read.parquet(f"{folder}/documents.parquet")
-    return d.select(filters.fullname(F.col("doc_id").cast("string")).alias("fullname"), F.col("source").alias("subreddit"))
+    """One folder of files for each language, read as one table with the folder each row came from."""
+    d = table(spark, folder, "documents", "doc_id", "source", "lang")
+    keys = d.select(filters.fullname(F.col("doc_id").cast("string")).alias("fullname"), F.col("source").alias("subreddit"), "lang")
+    path = new_path(spark, "dumps")
+    keys.write.partitionBy("lang").parquet(path)
+    back = spark.read.schema("fullname STRING, subreddit STRING, lang STRING").parquet(path)
+    folder_of = F.regexp_extract(F.col("_metadata.file_path"), "/(lang=[^/]*)/", 1)
+    return back.select("fullname", "subreddit", folder_of.alias("source_file"))
 
 
 @query("S9", sql="SELECT 'documents.parquet' AS source_file, count(*) AS n FROM documents")
@@ -58,31 +65,54 @@ def run_summary_long(spark, folder):
     return summaries.long_metrics(wide, ["lang"], ["n_docs", "n_sources", "n_chars"])
 
 
-@query("S11")
+@query(
+    "S11",
+    sql="""SELECT 'documents' AS corpus, '[' || string_agg('{"lang":"' || lang || '","metrics":{"n_chars":' || chars || '.0,"n_docs":' || docs
+    || '.0,"n_sources":' || sources || '.0}}', ',' ORDER BY lang) || ']' AS models
+    FROM (SELECT lang, sum(n_chars) AS chars, count(*) AS docs, count(DISTINCT source) AS sources FROM documents GROUP BY lang)""",
+)
 def run_summary_json(spark, folder):
     return summaries.nested_summary(
         run_summary_long(spark, folder).withColumn("corpus", F.lit("documents")), ["corpus"], ["lang"]
     )
 
 
+@query(
+    "S11",
+    sql="""SELECT lang, metric, value FROM (
+    SELECT lang, 'n_docs' AS metric, count(*)::DOUBLE AS value FROM documents WHERE lang <> 'fr' GROUP BY lang
+    UNION ALL SELECT 'fr', 'n_docs', count(*)::DOUBLE FROM documents WHERE lang = 'fr'
+    UNION ALL SELECT 'fr', 'n_sources', count(DISTINCT source)::DOUBLE FROM documents WHERE lang = 'fr')""",
+)
+def run_summary_merged(spark, folder):
+    """The summary of one more model put into an existing one: its metrics replace those of the same name."""
+    d = table(spark, folder, "documents", "lang", "source")
+    old = summaries.long_metrics(d.groupBy("lang").agg(F.count("*").alias("n_docs")), ["lang"], ["n_docs"])
+    again = d.where(F.col("lang") == "fr").groupBy("lang")
+    new = again.agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_sources"))
+    return summaries.merged(old, summaries.long_metrics(new, ["lang"], ["n_docs", "n_sources"]), ["lang"])
+
+
 @query(
     "F1",
     "F2",
-    sql=f"""WITH {COMMUNITIES} SELECT display_name, url, subscribers, subreddit_type, lang FROM communities
+    sql=f"""WITH {COMMUNITIES} SELECT id, name, display_name, title, url, subscribers, subreddit_type, description, lang FROM communities
     WHERE NOT over18 AND (lang = 'en' OR lang IS NULL) AND subreddit_type IN ('public', 'restricted') AND subscribers > 9""",
 )
 def community_filter(spark, folder):
     return filters.filter_communities(communities(spark, folder))
 
 
-SUBMISSION_WHERE = """author <> '[deleted]' AND NOT over_18
+SUBMISSION_WHERE = """author IS DISTINCT FROM '[deleted]' AND NOT over_18
   AND coalesce(lower(title), '') NOT IN ('[deleted by user]', '[removed by user]', '[deleted]', '[removed]', '(removed)', 'removed', 'deleted')
   AND coalesce(lower(selftext), '') NOT IN ('[deleted]', '[removed]', 'deleted', 'removed')"""
 
 ELIGIBLE = """eligible AS (SELECT display_name FROM communities WHERE NOT over18 AND (lang = 'en' OR lang IS NULL)
   AND subreddit_type IN ('public', 'restricted') AND subscribers > 9)"""
 
-SUBMISSION_COLUMNS = "subreddit, id, fullname, score, title, selftext, author"
+SUBMISSION_COLUMNS = (
+    "subreddit_id, subreddit, id, fullname, permalink, score, title, selftext, url, author, author_fullname, created_utc, source_file"
+)
 
 
 @query(
@@ -99,11 +129,17 @@ def submission_filter(spark, folder):
 COMMENTS = """
 comments AS (SELECT 't3_' || conv_id AS link_id,
     CASE WHEN turn <= 1 THEN 't3_' || conv_id ELSE 't1_' || conv_id || '_' || (turn - 1) END AS parent_id,
-    conv_id || '_' || turn AS id, role AS subreddit,
+    conv_id || '_' || turn AS id, role AS subreddit, 't5_' || role AS subreddit_id, '/r/' || role || '/' || conv_id AS permalink,
+    turn AS score, 'RC_' || role AS source_file,
     CASE WHEN length(text) < 60 THEN '(Removed)' ELSE text END AS body FROM conversations)
 """
 
 
+COMMENT_COLUMNS = "subreddit_id, subreddit, link_id, id, parent_id, permalink, score, body, source_file"
+COMMENT_WHERE = """parent_id = link_id
+    AND coalesce(lower(body), '') NOT IN ('[deleted by user]', '[removed]', '(removed)', '[deleted]', 'deleted', 'removed')"""
+
+
 def comments(spark, folder):
     c = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     link = F.concat(F.lit("t3_"), "conv_id")
@@ -113,6 +149,10 @@ def comments(spark, folder):
         F.when(F.col("turn") <= 1, link).otherwise(parent).alias("parent_id"),
         F.concat("conv_id", F.lit("_"), "turn").alias("id"),
         F.col("role").alias("subreddit"),
+        F.concat(F.lit("t5_"), "role").alias("subreddit_id"),
+        F.concat(F.lit("/r/"), "role", F.lit("/"), "conv_id").alias("permalink"),
+        F.col("turn").alias("score"),
+        F.concat(F.lit("RC_"), "role").alias("source_file"),
         F.when(F.length("text") < 60, "(Removed)").otherwise(F.col("text")).alias("body"),
     )
 
@@ -121,9 +161,8 @@ def comments(spark, folder):
     "F4",
     "F5",
     "F6",
-    sql=f"""WITH {SUBMISSIONS}, {COMMENTS} SELECT subreddit, link_id, id, parent_id, body FROM comments
-    WHERE parent_id = link_id AND link_id IN (SELECT fullname FROM submissions WHERE {SUBMISSION_WHERE})
-    AND coalesce(lower(body), '') NOT IN ('[deleted by user]', '[removed]', '(removed)', '[deleted]', 'deleted', 'removed')""",
+    sql=f"""WITH {SUBMISSIONS}, {COMMENTS} SELECT {COMMENT_COLUMNS} FROM comments
+    WHERE {COMMENT_WHERE} AND link_id IN (SELECT fullname FROM submissions WHERE {SUBMISSION_WHERE})""",
 )
 def comment_filter(spark, folder):
     kept = submissions(spark, folder).where(filters.submission_rules())
@@ -142,6 +181,17 @@ def found_community_submissions(spark, folder):
     return filters.filter_submissions(posts, found)
 
 
+@query(
+    "C10",
+    sql=f"""WITH {SUBMISSIONS}, {COMMENTS}, found AS (SELECT subreddit FROM submissions WHERE over_18 GROUP BY subreddit)
+    SELECT {COMMENT_COLUMNS} FROM comments WHERE {COMMENT_WHERE} AND link_id IN (
+        SELECT fullname FROM submissions WHERE {SUBMISSION_WHERE} AND subreddit IN (SELECT subreddit FROM found))""",
+)
+def found_community_comments(spark, folder):
+    """The comment filter keyed on the submissions of the found communities."""
+    return filters.filter_comments(comments(spark, folder), found_community_submissions(spark, folder))
+
+
 @query(
     "F8",
     sql="SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')",

@@ -17,7 +17,7 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "que", "le
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", columns or None, spread=bool({"text", "html"} & set(columns)))
+    return read_table(spark, f"{folder}/{name}.parquet", columns or None)
 
 
 def r6(c: Column | str) -> Column:
@@ -29,8 +29,11 @@ def r6(c: Column | str) -> Column:
 SUBMISSIONS = """
 submissions AS (
   SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS id, 't3_' || d.doc_id AS fullname,
-         d.source || '_' || d.lang AS subreddit,
-         CASE WHEN l.quality = 0 THEN '[deleted]' ELSE 'u' || d.doc_id END AS author,
+         d.source || '_' || d.lang AS subreddit, 't5_' || d.source || '_' || d.lang AS subreddit_id,
+         '/r/' || d.source || '_' || d.lang || '/comments/' || d.doc_id AS permalink,
+         'https://forum.example/' || d.doc_id AS url,
+         CASE WHEN l.quality = 0 THEN '[deleted]' WHEN d.doc_id % 11 <> 3 THEN 'u' || d.doc_id END AS author,
+         't2_' || d.doc_id % 97 AS author_fullname, 1500000000 + d.doc_id AS created_utc, 'RS_' || d.lang AS source_file,
          coalesce(l.toxic = 1, false) AS over_18,
          CASE WHEN d.n_chars < 40 THEN '[Removed]' ELSE split_part(d.text, chr(10), 1) END AS title,
          CASE WHEN contains(d.text, chr(10)) THEN substr(d.text, instr(d.text, chr(10)) + 1) END AS selftext,
@@ -48,7 +51,15 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("id"),
         filters.fullname(F.col("doc_id").cast("string")).alias("fullname"),
         F.concat("source", F.lit("_"), "lang").alias("subreddit"),
-        F.when(F.col("quality") == 0, "[deleted]").otherwise(F.concat(F.lit("u"), "doc_id")).alias("author"),
+        F.concat(F.lit("t5_"), "source", F.lit("_"), "lang").alias("subreddit_id"),
+        F.concat(F.lit("/r/"), "source", F.lit("_"), "lang", F.lit("/comments/"), "doc_id").alias("permalink"),
+        F.concat(F.lit("https://forum.example/"), "doc_id").alias("url"),
+        F.when(F.col("quality") == 0, "[deleted]")
+        .when(F.col("doc_id") % 11 != 3, F.concat(F.lit("u"), "doc_id"))
+        .alias("author"),
+        F.concat(F.lit("t2_"), (F.col("doc_id") % 97).cast("string")).alias("author_fullname"),
+        (F.lit(1500000000) + F.col("doc_id")).alias("created_utc"),
+        F.concat(F.lit("RS_"), "lang").alias("source_file"),
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("over_18"),
         F.when(F.col("n_chars") < 40, "[Removed]").otherwise(F.substring_index("text", "\n", 1)).alias("title"),
         F.when(newline > 0, F.substr("text", newline + 1)).alias("selftext"),
@@ -59,6 +70,8 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
 COMMUNITIES = """
 communities AS (
   SELECT source || '_' || lang AS display_name, '/r/' || source || '_' || lang || '/' AS url,
+         source || '_' || lang AS id, 't5_' || source || '_' || lang AS name, 'About ' || source AS title,
+         'Posts in ' || lang AS description,
          nullif(lang, 'es') AS lang,
          CASE lang WHEN 'fr' THEN 'private' WHEN 'de' THEN 'restricted' ELSE 'public' END AS subreddit_type,
          max(n_chars) > 19000 AS over18, count(*) AS subscribers, count(*) AS post_count
@@ -74,6 +87,10 @@ def communities(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.select(
         name.alias("display_name"),
         F.concat(F.lit("/r/"), name, F.lit("/")).alias("url"),
+        name.alias("id"),
+        F.concat(F.lit("t5_"), name).alias("name"),
+        F.concat(F.lit("About "), "source").alias("title"),
+        F.concat(F.lit("Posts in "), "lang").alias("description"),
         F.nullif("lang", F.lit("es")).alias("lang"),
         kind.alias("subreddit_type"),
         (F.col("longest") > 19000).alias("over18"),

@@ -30,6 +30,14 @@ def reject_xz(path: str) -> None:
         raise ValueError(f"{path}: .xz dumps cannot be read; recompress as .zst, .gz or .bz2")
 
 
+def reject_xz_in(spark: SparkSession, folder: str) -> None:
+    """The same for every file of a folder; only names are listed."""
+    reject_xz(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(folder).select("path").first()
+    if found:
+        reject_xz(found.path)
+
+
 def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """NDJSON records (plain, .gz, .bz2 or .zst) with their source file.
 

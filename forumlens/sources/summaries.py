@@ -20,11 +20,15 @@ def nested_summary(long: DataFrame, run_keys: Sequence[str], model_keys: Sequenc
     Metrics per model and models per run are the sizes of the parameter grid,
     not of the data.
     """
-    models = long.groupBy(*run_keys, *model_keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics")
-    )
-    return models.groupBy(*run_keys).agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct(*model_keys, F.to_json("metrics").alias("metrics"))))).alias(
-            "models"
-        )
+    models = long.groupBy(*run_keys, *model_keys).agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("entries"))
+    rows = F.sort_array(F.collect_list(F.struct(*model_keys, "entries")))  # a map cannot be sorted, its entries can
+    listed = F.transform(
+        rows, lambda r: F.struct(*(r[k].alias(k) for k in model_keys), F.map_from_entries(r["entries"]).alias("metrics"))
     )
+    return models.groupBy(*run_keys).agg(F.to_json(listed).alias("models"))
+
+
+def merged(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The metrics of `new` added to those of `old`; of the same keys and metric the new value counts."""
+    kept = old.join(new.select(*keys, "metric"), [*keys, "metric"], "left_anti")
+    return kept.select(*keys, "metric", "value").unionByName(new.select(*keys, "metric", "value"))

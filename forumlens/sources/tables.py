@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,21 +11,10 @@ from pyspark.sql.types import StringType
 from forumlens.operators.ranking import row_index
 
 
-def read_table(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, spread: bool = False
-) -> DataFrame:
-    """A parquet table (one file or a folder of files, concatenated).
-
-    With `spread`, meant for texts that are costly to work on, a table of fewer
-    than two splits per core is spread over the cores: a row group cannot be
-    split, so that work would run in a few tasks. Larger tables are read as
-    they lie, with no shuffle.
-    """
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A parquet table (one file or a folder of files, concatenated), read as it lies."""
     df = spark.read.parquet(path)
-    if columns is not None:
-        df = df.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < 2 * cores else df
+    return df if columns is None else df.select(*columns)
 
 
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
@@ -105,12 +93,16 @@ def artefact_path(root: str, kind: str, **parameters) -> str:
 
 
 def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at `path`; if it is missing or unfinished, make it first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """Read the table at `path`; if it is missing or its write was never finished, make it first."""
+    if not finished(spark, path):
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """A write to this folder has ended: only then is there its success marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
 
 
 def load_or_fit(path: str, load: Callable[[str], object], fit: Callable[[], object]):

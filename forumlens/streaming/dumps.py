@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from forumlens.sources.dumps import reject_xz
+from forumlens.sources.dumps import CORRUPT, reject_xz_in
 from forumlens.sources.tables import with_source_file, write_table
 
 
@@ -23,12 +24,18 @@ def append_new_dumps(
 
     The filters keep no state between batches. Each batch writes its own
     folder `batch=<id>` in overwrite mode, so a batch repeated after a failure
-    replaces its first attempt and no row is appended twice.
+    replaces its first attempt and no row is appended twice. A batch with an
+    .xz file fails as a whole. Lines that are no JSON are null rows with their
+    text in `_corrupt_record`; the rules decide about them.
     """
-    reject_xz(folder)
-    records = with_source_file(spark.readStream.schema(schema).json(folder))
+    reject_xz_in(spark, folder)
+    fields = StructType.fromDDL(schema).add(CORRUPT, "string")
+    records = with_source_file(
+        spark.readStream.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder)
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        reject_xz_in(spark, folder)  # before any row of the batch is read or written
         write_table(rules(batch), f"{output}/batch={batch_id}", mode="overwrite")
 
     return (

@@ -2,10 +2,22 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from conftest import rows
 from forumlens.operators import corpus, filters
 
 
+def with_fields(df, fields):
+    """The frame with nulls for the fields that a test does not name."""
+    return df.select("*", *[F.lit(None).cast("string").alias(f) for f in fields if f not in (*df.columns, "fullname")])
+
+
+def test_missing_field_is_an_error(spark):
+    with pytest.raises(ValueError, match="score"):
+        filters.only(spark.createDataFrame([("a",)], "id STRING"), ["id", "score"])
+
+
 def test_community_filter_keeps_null_language(spark):
     df = spark.createDataFrame(
         [
@@ -18,7 +30,7 @@ def test_community_filter_keeps_null_language(spark):
         ],
         "display_name STRING, lang STRING, subreddit_type STRING, subscribers BIGINT, over18 BOOLEAN",
     )
-    assert [r.display_name for r in filters.filter_communities(df).orderBy("display_name").collect()] == ["a", "b"]
+    assert [r.display_name for r in filters.filter_communities(with_fields(df, filters.COMMUNITY_FIELDS)).orderBy("display_name").collect()] == ["a", "b"]
 
 
 def test_submission_filter(spark):
@@ -33,11 +45,12 @@ def test_submission_filter(spark):
             ("6", "s", "u", False, "ok", "REMOVED"),
             ("7", "s", "u", False, " removed", None),
             ("8", "s", "u", False, "(removed)", None),
+            ("9", "s", None, False, "no author", None),
         ],
         "id STRING, subreddit STRING, author STRING, over_18 BOOLEAN, title STRING, selftext STRING",
     )
-    kept = filters.filter_submissions(df, names).orderBy("id").collect()
-    assert [r.fullname for r in kept] == ["t3_1", "t3_7"]
+    kept = filters.filter_submissions(with_fields(df, filters.SUBMISSION_FIELDS), names).orderBy("id").collect()
+    assert [r.fullname for r in kept] == ["t3_1", "t3_7", "t3_9"]
 
 
 def test_comment_filter(spark):
@@ -52,7 +65,7 @@ def test_comment_filter(spark):
         ],
         "id STRING, link_id STRING, parent_id STRING, body STRING",
     )
-    assert [r.id for r in filters.filter_comments(df, posts).orderBy("id").collect()] == ["1", "5"]
+    assert [r.id for r in filters.filter_comments(with_fields(df, filters.COMMENT_FIELDS), posts).orderBy("id").collect()] == ["1", "5"]
 
 
 def test_test_questions(spark):

@@ -88,7 +88,7 @@ def test_run_summary_export(spark):
     long = summaries.long_metrics(spark.createDataFrame([(2, 15, 3.5), (2, 20, 2.5)], "min_df INT, k INT, inertia DOUBLE"), ["min_df", "k"], ["inertia"])
     assert rows(long, "k") == [(2, 15, "inertia", 3.5), (2, 20, "inertia", 2.5)]
     models = json.loads(summaries.nested_summary(long, ["min_df"], ["k"]).first().models)
-    assert [(m["k"], json.loads(m["metrics"])) for m in models] == [(15, {"inertia": 3.5}), (20, {"inertia": 2.5})]
+    assert [(m["k"], m["metrics"]) for m in models] == [(15, {"inertia": 3.5}), (20, {"inertia": 2.5})]
 
 
 def test_stream_takes_every_dump_once(spark, tmp_path):
@@ -107,3 +107,33 @@ def test_stream_takes_every_dump_once(spark, tmp_path):
     write_lines(folder / "2.json", [{"id": "c", "score": 5}])
     assert run() == [("a", "1.json"), ("c", "2.json")]
     assert run() == [("a", "1.json"), ("c", "2.json")]
+
+
+def test_stream_fails_on_xz_and_keeps_broken_lines(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    write_lines(folder / "1.json", [{"id": "a", "score": 5}, "no json"])
+
+    def run():
+        append_new_dumps(spark, str(folder), dumps.COMMENT_SCHEMA, lambda b: b.select("id", "_corrupt_record"), out, state).awaitTermination()
+
+    run()
+    assert rows(spark.read.parquet(out).select("id", "_corrupt_record"), "id") == [(None, "no json"), ("a", None)]
+    (folder / "2.xz").write_bytes(b"x")
+    with pytest.raises(Exception, match="xz"):
+        run()
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_unfinished_artefact_is_made_again(spark, tmp_path):
+    path = str(tmp_path / "half")
+    spark.range(10).repartition(2).write.parquet(path)
+    (tmp_path / "half" / "_SUCCESS").unlink()
+    next((tmp_path / "half").glob("part-*.parquet")).unlink()
+    assert tables.load_or_compute(spark, path, lambda: spark.range(10)).count() == 10
+
+
+def test_merged_summary(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0)], "k INT, metric STRING, value DOUBLE")
+    new = spark.createDataFrame([(2, "a", 9.0), (3, "b", 4.0)], "k INT, metric STRING, value DOUBLE")
+    assert rows(summaries.merged(old, new, ["k"]), "k") == [(1, "a", 1.0), (2, "a", 9.0), (3, "b", 4.0)]
