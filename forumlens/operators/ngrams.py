@@ -18,7 +18,8 @@ from forumlens.functions import text as T
 SLACK = 1e-7
 RARE = 200
 _TAIL_STOP = 1e-17
-_BLOCK = 1024
+_BLOCK = 64
+_SMALL = np.array([math.lgamma(k + 1) for k in range(32)])
 
 # The helpers below travel to the executors with the UDF that calls them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,69 +58,68 @@ def contingency(ngrams: DataFrame, total_pos: Column, total_neg: Column) -> Data
     )
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log(n!) of whole numbers: a table for small ones, Stirling's series beyond."""
+    n = np.asarray(n, float)
+    m = np.maximum(n, 32.0)
+    series = m * np.log(m) - m + 0.5 * np.log(2 * np.pi * m) + 1 / (12 * m) - 1 / (360 * m**3) + 1 / (1260 * m**5)
+    return np.where(n < 32, _SMALL[np.minimum(n, 31).astype(int)], series)
 
 
-def _tail(x: int, step: int, lo: int, hi: int, pos: int, neg: int, drawn: int) -> float:
-    """Sum of pmf(x'), in units of pmf(x), for x' = x, x+step, ... within lo..hi.
+def _tails(x, step, pos, neg, drawn) -> np.ndarray:
+    """For each table the sum of pmf(x'), in units of pmf(x), over x' = x, x + step, ... to the end of its support.
 
-    pmf ratios of neighbours are rational in x, so a block of terms is a
-    cumulative product; terms fall off fast and the sum ends when they vanish.
+    Ratios of neighbours are rational in x and zero at the support's end, so a
+    block of terms is a cumulative product. All tables go on together until
+    their terms have vanished.
     """
-    total, term = 1.0, 1.0
-    while lo <= x + step <= hi:
-        width = min(_BLOCK, hi - x if step > 0 else x - lo)
-        at = x + step * np.arange(width, dtype=float)
-        if step > 0:
-            ratios = (pos - at) * (drawn - at) / ((at + 1) * (neg - drawn + at + 1))
-        else:
-            ratios = at * (neg - drawn + at) / ((pos - at + 1) * (drawn - at + 1))
-        terms = term * np.cumprod(ratios)
-        total += float(terms.sum())
-        term = float(terms[-1])
-        x += step * width
-        if term < _TAIL_STOP * total:
-            break
+    x, total = x.astype(float), np.ones(len(x))
+    rows, term = np.arange(len(x)), np.ones(len(x))
+    while len(rows):
+        at = x[rows, None] + step[rows, None] * np.arange(_BLOCK)
+        a, b, d = (v[rows, None].astype(float) for v in (pos, neg, drawn))
+        up = (a - at) * (d - at) / (np.maximum(at + 1, 1) * np.maximum(b - d + at + 1, 1))
+        down = at * (b - d + at) / (np.maximum(a - at + 1, 1) * np.maximum(d - at + 1, 1))
+        terms = term[rows, None] * np.cumprod(np.where(step[rows, None] > 0, up, down), axis=1)
+        total[rows] += terms.sum(axis=1)
+        term[rows] = terms[:, -1]
+        x[rows] += step[rows] * _BLOCK
+        rows = rows[np.abs(term[rows]) > _TAIL_STOP * total[rows]]
     return total
 
 
-def fisher_two_sided(pos_in: int, neg_in: int, pos: int, neg: int) -> float:
-    """Two-sided p-value of [[pos_in, pos - pos_in], [neg_in, neg - neg_in]]."""
+def fisher_two_sided(pos_in, neg_in, pos, neg) -> np.ndarray:
+    """Two-sided p-values of the tables [[pos_in, pos - pos_in], [neg_in, neg - neg_in]], given as arrays."""
+    pos_in, neg_in, pos, neg = (np.atleast_1d(np.asarray(x, np.int64)) for x in (pos_in, neg_in, pos, neg))
     drawn = pos_in + neg_in
-    lo, hi = max(0, drawn - neg), min(pos, drawn)
-    if lo == hi:
-        return 1.0
-
-    def log_pmf(x: int) -> float:
-        return _log_choose(pos, x) + _log_choose(neg, drawn - x)
-
-    observed = log_pmf(pos_in)
-    limit = observed + math.log1p(SLACK)
-    mode = min(max((drawn + 1) * (pos + 1) // (pos + neg + 2), lo), hi)
-    log_p = observed - _log_choose(pos + neg, drawn)
-    if log_pmf(mode) <= limit:
-        return 1.0
-    step = -1 if pos_in < mode else 1
-    total = _tail(pos_in, step, lo, hi, pos, neg, drawn)
-    # the first x on the other side of the mode that is as improbable
-    near, far = mode, hi if step < 0 else lo
-    if log_pmf(far) <= limit:
-        while abs(far - near) > 1:
-            middle = (near + far) // 2
-            if log_pmf(middle) <= limit:
-                far = middle
-            else:
-                near = middle
-        other = _tail(far, -step, lo, hi, pos, neg, drawn)
-        total += math.exp(log_pmf(far) - observed) * other
-    return min(1.0, math.exp(log_p) * total)
+    low, high = np.maximum(0, drawn - neg), np.minimum(pos, drawn)
+    fixed = _log_factorial(pos) + _log_factorial(neg) - _log_factorial(pos + neg)
+    fixed = fixed + _log_factorial(drawn) + _log_factorial(pos + neg - drawn)
+
+    def log_pmf(x: np.ndarray) -> np.ndarray:
+        cells = (x, pos - x, drawn - x, neg - drawn + x)
+        return fixed - sum(_log_factorial(c) for c in cells)
+
+    seen = log_pmf(pos_in)
+    limit = seen + math.log1p(SLACK)
+    mode = np.clip((drawn + 1) * (pos + 1) // (pos + neg + 2), low, high)
+    step = np.where(pos_in < mode, 1, -1)
+    p = np.exp(seen) * _tails(pos_in, -step, pos, neg, drawn)
+    # the first value on the other side of the mode that is as improbable, by bisection
+    near, far = mode.copy(), np.where(step > 0, high, low)
+    other = log_pmf(far) <= limit
+    while (open_ := other & (np.abs(far - near) > 1)).any():
+        middle = (near + far) // 2
+        rare = log_pmf(middle) <= limit
+        far = np.where(open_ & rare, middle, far)
+        near = np.where(open_ & ~rare, middle, near)
+    p += np.where(other, np.exp(log_pmf(far)) * _tails(far, step, pos, neg, drawn), 0.0)
+    return np.where(log_pmf(mode) <= limit, 1.0, np.minimum(p, 1.0))
 
 
 @F.pandas_udf(DoubleType())
 def _fisher(pos_in: pd.Series, neg_in: pd.Series, pos: pd.Series, neg: pd.Series) -> pd.Series:
-    cells = zip(pos_in.tolist(), neg_in.tolist(), pos.tolist(), neg.tolist())
-    return pd.Series([fisher_two_sided(*c) for c in cells], dtype=float)
+    return pd.Series(fisher_two_sided(pos_in, neg_in, pos, neg), dtype=float)
 
 
 def with_p_values(ngrams: DataFrame, total_pos: Column, total_neg: Column) -> DataFrame:
