@@ -78,17 +78,28 @@ class Prefixes:
 
 
 def sketches(prefixes: Prefixes, span: int = SPAN, kept: int = KEPT) -> list[np.ndarray]:
-    """Least distinct keys of each text's spans; a text shorter than a span is one span."""
+    """Least keys of each text's spans; a text shorter than a span is one span.
+
+    The second, third and further occurrence of a span in a text are spans of
+    their own, so that a text's repeated parts weigh as much as its other parts.
+    """
     sizes = np.diff(prefixes.begin)
     counts = np.where(sizes == 0, 0, np.maximum(sizes - span + 1, 1))
     first = np.cumsum(counts) - counts
     start = np.arange(counts.sum()) + np.repeat(prefixes.begin[:-1] - first, counts)
-    keys = mix(prefixes.span(start, start + np.repeat(np.minimum(sizes, span), counts))) >> U64(64 - KEY_BITS)
+    keys = mix(prefixes.span(start, start + np.repeat(np.minimum(sizes, span), counts)))
     out = []
     for a, n in zip(first.tolist(), counts.tolist()):
-        own = keys[a : a + n]
-        few = np.unique(np.partition(own, 4 * kept)[: 4 * kept]) if n > 8 * kept else np.unique(own)
-        out.append((few if len(few) >= kept or n <= 8 * kept else np.unique(own))[:kept])
+        own = np.sort(keys[a : a + n])
+        again = np.flatnonzero(own[1:] == own[:-1]) + 1
+        if len(again):
+            new = np.ones(n, bool)
+            new[again] = False
+            at = np.arange(n)
+            number = (at - np.maximum.accumulate(np.where(new, at, 0)))[again]
+            own[again] = mix(own[again] + number.astype(U64) * U64(0x9E3779B97F4A7C15))
+            own.sort()
+        out.append(np.unique(own[: 2 * kept] >> U64(64 - KEY_BITS))[:kept])
     return out
 
 
@@ -155,11 +166,12 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     at = F.percentile_approx("id", [k / buckets for k in range(1, buckets)], 10 * buckets)
     bounds = rows.select(F.col("id").cast("double").alias("id")).agg(at.alias("b")).first()["b"] or []
-    splits = [float("-inf"), *sorted({b for b in bounds}), float("inf")]
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep")
-    rows = cut.transform(rows.withColumn("at", F.col("id").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
-    rows = rows.select("id", "text", "bucket")
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())
+    rows = cut.transform(rows.withColumn("at", F.col("id").cast("double")))
+    rows = rows.select("id", "text", F.coalesce(F.col("bucket").cast("int"), F.lit(len(splits))).alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("id").alias("id")).collect()
+    firsts = sorted(((r["bucket"], r["id"]) for r in least), key=lambda first: first[0])
     tails = [(firsts[(k + 1) % len(firsts)][1], b) for k, (b, _) in enumerate(firsts)]
     kind = docs.schema[id_col].dataType.simpleString()
     ends = spark.createDataFrame(tails, f"first_id {kind}, ends int") if tails else None
