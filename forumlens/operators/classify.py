@@ -15,6 +15,7 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from forumlens.functions.text import ngrams
 from forumlens.operators import filters, scoring
+from forumlens.operators.decompose import projected_rows
 from forumlens.operators.ranking import rank_by_draw
 from forumlens.operators.vocabulary import fit_vectoriser, vectorise
 from forumlens.session import written
@@ -40,7 +42,6 @@ NAMES = {
     "SVM_linear": "Linear SVM",
     "SVM_rbf": "Radial Bias Function SVM",
 }
-UNLIMITED_FEATURES = 1 << 18
 TREE_DEPTH = 30  # the deepest Spark grows
 
 
@@ -167,9 +168,7 @@ def random_fourier(df: DataFrame, key: str, vector: str, gamma: float, dimension
     shift = rng.uniform(0.0, 2.0 * np.pi, size=dimensions)
     rows = df.select(F.col(key).cast("bigint").alias("index"), F.col(vector).alias("vector"))
     matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(rows, "vector"))
-    projected = matrix.multiply(DenseMatrix(columns, dimensions, w.ravel(order="F")))
-    long = projected.rows.map(lambda r: (r.index, [float(x) for x in r.vector.toArray()]))
-    wx = df.sparkSession.createDataFrame(long, f"{key} BIGINT, __wx ARRAY<DOUBLE>")
+    wx = projected_rows(matrix, DenseMatrix(columns, dimensions, w.ravel(order="F")), key, "__wx")
     shifts = F.array(*[F.lit(float(b)) for b in shift])
     scale = F.lit(float(np.sqrt(2.0 / dimensions)))
     mapped = F.zip_with("__wx", shifts, lambda x, b: scale * F.cos(x + b))
@@ -183,12 +182,9 @@ def kernel_width(df: DataFrame, vector: str, gamma: str | float) -> float:
     columns = len(df.select(vector).first()[0])
     if gamma == "auto":
         return 1.0 / columns
-    x = vector_to_array(vector)
-    sums = df.agg(
-        F.avg(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)).alias("s"),
-        F.avg(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)).alias("q"),
-    ).first()
-    variance = sums["q"] / columns - (sums["s"] / columns) ** 2
+    sums = df.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col(vector)).alias("s")).select("s.*").first()
+    squares = float((sums["normL2"].toArray() ** 2).sum()) / sums["count"]
+    variance = squares / columns - (float(sums["mean"].toArray().sum()) / columns) ** 2
     return 1.0 / (columns * variance) if variance > 0 else 1.0
 
 
@@ -198,9 +194,7 @@ def featurise(train: DataFrame, test: DataFrame, max_features: int | None, longe
     def with_terms(df: DataFrame) -> DataFrame:
         return df.withColumn("terms", ngrams(F.col("words"), longest))
 
-    model = fit_vectoriser(
-        with_terms(train), "terms", min_df=2, max_features=max_features or UNLIMITED_FEATURES
-    )
+    model = fit_vectoriser(with_terms(train), "terms", min_df=2, max_features=max_features)
     keep = [key, "y", "features"]
     return (
         balanced_weights(vectorise(model, with_terms(train)).select(*keep)),

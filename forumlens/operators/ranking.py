@@ -17,7 +17,6 @@ from forumlens.functions.keys import draw_key
 
 DRAW_DIGITS = 3  # 16**3 buckets per group
 RANGE_BUCKETS = 256
-BROADCAST_GROUPS = 1_000_000  # rows of about 100 bytes
 
 
 def rank_by_draw(df: DataFrame, groups: Sequence[str], key: str, seed: int | Column, rank: str = "rank") -> DataFrame:
@@ -74,16 +73,13 @@ def sampled_rows(df: DataFrame, sample: DataFrame, group: str, key: str, seed: i
     """The full rows of a sample drawn by `sample_per_group` from `df`'s keys.
 
     A row is in the sample when its draw is not above the last one drawn in its
-    group, so with one broadcast row per group the texts are filtered where
-    they are read and only sampled rows move. The number of groups is counted
-    first; beyond the limit the rows are joined by key.
+    group. The join has one row per group on one side: while that is small Spark
+    broadcasts it, and texts are filtered where they are read.
     """
     drawn = sample.select(group, F.struct(draw_key(seed, F.col(key)).alias("d"), F.col(key).alias("k")).alias("__at"))
     last = drawn.groupBy(group).agg(F.max("__at").alias("__last"))
-    if last.count() > BROADCAST_GROUPS:
-        return df.join(sample.select(key), key, "left_semi")
     here = F.struct(draw_key(seed, F.col(key)).alias("d"), F.col(key).alias("k"))
-    return df.join(F.broadcast(last), group).where(here <= F.col("__last")).drop("__last")
+    return df.join(last, group).where(here <= F.col("__last")).drop("__last")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

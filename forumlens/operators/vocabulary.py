@@ -1,7 +1,7 @@
 """Term tables, vocabularies and TF-IDF.
 
 The long form `(doc, term, tf)` gives exact answers at any vocabulary size;
-`fit_vectoriser` gives ML vectors over a vocabulary of a stated maximum size.
+`fit_vectoriser` gives ML vectors over all of a vocabulary or its most frequent terms.
 """
 
 from __future__ import annotations
@@ -66,22 +66,15 @@ def join_vocabulary(tf: DataFrame, vocab: DataFrame, columns: Sequence[str], hot
     """Keep the terms of the vocabulary and attach its columns.
 
     A frequent term occurs in more than half of all documents, so joining by
-    term would put those rows in one task. The `hot` most frequent terms, a
-    fixed number of rows, are broadcast; what is left after them is spread
-    over many terms and joined by shuffle. Hot rows pass that join under keys
-    that match nothing and are spread by document.
+    term would put those rows in one task. Rows of the `hot` most frequent
+    terms, a fixed number of broadcast rows, are joined where they are; the
+    other rows are spread over many terms and are joined by shuffle. How many
+    terms count as hot changes the plan's work and never the result.
     """
-    ranked = vocab.select("term", *columns)
     top = vocab.orderBy(F.desc("df"), "term").limit(hot).select("term", *columns)
-    top = top.select("term", F.struct(*columns).alias("__hot"))
-    rest = ranked.select(F.col("term").alias("__term"), F.struct(*columns).alias("__cold"))
-    ids = [c for c in tf.columns if c not in ("term", "tf")]
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*ids), F.lit(4096)).cast("string"))
-    joined = tf.join(F.broadcast(top), "term", "left")
-    joined = joined.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("term")).otherwise(spread))
-    joined = joined.join(rest, joined["__key"] == rest["__term"], "left")
-    found = F.coalesce("__hot", "__cold")
-    return joined.where(found.isNotNull()).select(*tf.columns, found.alias("__v")).select(*tf.columns, "__v.*")
+    frequent = tf.join(F.broadcast(top), "term")
+    rare = tf.join(F.broadcast(top.select("term")), "term", "left_anti").join(vocab.select("term", *columns), "term")
+    return frequent.unionByName(rare).select(*tf.columns, *columns)
 
 
 def tfidf(tf: DataFrame, ids: Sequence[str], vocab: DataFrame, n_docs: Column) -> DataFrame:
@@ -151,21 +144,22 @@ def fit_vectoriser(
     words: str,
     min_df: int = 2,
     max_df: float = 1.0,
-    max_features: int = 1 << 18,
+    max_features: int | None = None,
     output: str = "features",
     counts: str = "counts",
 ) -> PipelineModel:
     """Fit TF-IDF vectors on an array-of-words column.
 
-    `max_features` bounds the vocabulary, which the driver holds and every
-    executor receives: of the terms within the limits, the most frequent ones,
-    ties by term, with columns in alphabetical order. One pass finds the terms
-    and their weights.
+    All terms within the limits are columns, in alphabetical order; only where
+    the caller asks for `max_features` are they the most frequent ones, ties by
+    term. The vocabulary is a part of the model: the driver holds it and every
+    executor receives it. One pass finds the terms and their weights.
     """
     n_docs = docs.count()
     tf = docs.select(F.explode(T.term_counts(F.col(words))).alias("t")).select("t.term", "t.tf")
     inside = vocabulary(document_frequency(tf), F.lit(n_docs), min_df, max_df)
-    chosen = sorted(top_features(inside, max_features).select("term", "df").collect())
+    limited = inside if max_features is None else top_features(inside, max_features)
+    chosen = sorted(limited.select("term", "df").collect())
     weights = [math.log((1.0 + n_docs) / (1.0 + df)) + 1.0 for _, df in chosen]
     return PipelineModel(
         [

@@ -101,7 +101,7 @@ def dense_relabel(spark, folder):
 # ---- learned models --------------------------------------------------------------
 
 
-def reduced_vectors(spark, folder, size=10):
+def reduced_vectors(spark, folder, size=terms.SVD_SIZE):
     vectors, _ = terms.document_vectors(spark, folder)
     coordinates, _ = decompose.truncated_svd(vectors, "doc_id", "features", size)
     return decompose.unit_rows(coordinates, "svd")
@@ -109,21 +109,21 @@ def reduced_vectors(spark, folder, size=10):
 
 @query("M1", "M6")
 def kmeans_labels(spark, folder):
-    """k-means on the reduced documents for two k, long form."""
-    labels, _ = C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [5, 10], restarts=2)
+    """k-means on the reduced documents for two of the 16 k, long form."""
+    labels, _ = C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [15, 30])
     return labels
 
 
 @query("M3", "M4", "M6")
 def kmeans_sweep_summary(spark, folder):
-    return C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [5, 10], restarts=2)[1]
+    return C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [15, 30])[1]
 
 
-def fitted_topics(spark, folder, k=5, iterations=5):
+def fitted_topics(spark, folder, k=5, passes=1.0):
     docs, model = terms.document_vectors(spark, folder)
     words = model.stages[0].vocabulary
     bags = docs.select("doc_id", "counts")
-    return bags, words, topics.fit_lda(bags, k, "counts", iterations)
+    return bags, words, topics.fit_lda(bags, k, "counts", passes)
 
 
 @query("M7", "M8")
@@ -141,7 +141,7 @@ def topic_terms(spark, folder):
 @query("M9")
 def topic_sweep(spark, folder):
     docs, model = terms.document_vectors(spark, folder)
-    labels, _ = topics.lda_sweep(docs, "doc_id", model.stages[0].vocabulary, [3, 5], "counts", 3)
+    labels, _ = topics.lda_sweep(docs, "doc_id", model.stages[0].vocabulary, [3, 5], "counts")
     return labels.groupBy("k", "cluster").agg(F.count("*").alias("docs"))
 
 

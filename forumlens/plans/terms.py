@@ -157,10 +157,10 @@ def unit_rows(spark, folder):
     )
 
 
-SVD_SIZE = 10
+SVD_SIZE = 50  # of the default 500, to fit the time of a check
 
 
-def document_vectors(spark, folder, max_features=1000):
+def document_vectors(spark, folder, max_features=None):
     docs = clean_documents(spark, folder).select("doc_id", T.tokens(F.col("clean_text")).alias("words"))
     docs = written(docs, "words")
     model = vocabulary.fit_vectoriser(docs, "words", MIN_DF, MAX_DF, max_features)
@@ -191,7 +191,7 @@ def explained_variance(spark, folder):
 )
 def ml_tfidf_vectors(spark, folder):
     """The same weights as ML vectors over the 1,000 most frequent features."""
-    vectors, model = document_vectors(spark, folder)
+    vectors, model = document_vectors(spark, folder, 1000)
     words = F.array(*[F.lit(w) for w in model.stages[0].vocabulary])
     long = vectors.select("doc_id", F.posexplode(vector_to_array("features")).alias("at", "x")).where(F.col("x") > 0)
     return long.select("doc_id", F.get(words, F.col("at")).alias("term"), r6("x").alias("tfidf"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from forumlens.functions import text as T
 from forumlens.operators import corpus, filters, words
-from forumlens.sources.tables import read_table
+from forumlens.sources.tables import read_table, spread
 
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "de", "la", "le", "que", "les", "der", "die", "und", "el", "en"]
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", columns or None)
+    df = read_table(spark, f"{folder}/{name}.parquet", columns or None)
+    return spread(df) if {"text", "html"} & set(columns) else df
 
 
 def r6(c: Column | str) -> Column:

@@ -17,6 +17,19 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that is no larger than one split over the cores.
+
+    A row group cannot be split, so costly work on such a file would be one
+    task. What moves is one split at most; any larger table stays as it lies.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan()
+    one_split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(plan.stats().sizeInBytes().toString()) <= one_split
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def with_source_file(df: DataFrame, column: str = "source_file") -> DataFrame:
     """The name of the file each row came from. Apply right after the read."""
     return df.withColumn(column, F.col("_metadata.file_name"))
