@@ -8,6 +8,7 @@ key with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 MASK = (1 << 64) - 1
-BLOCK_BYTES = 1 << 20  # text worked on at a time; bounds the temporary arrays
+BLOCK_BYTES = 1 << 19  # text worked on at a time; bounds the temporary arrays
 
 _draw = np.random.default_rng(20_240_101)
 BYTE_KEYS = _draw.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
@@ -51,7 +53,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << int(n).bit_length()
+            size = (n // (1 << 18) + 1) << 18
             self.up, self.down = self._series(self.base, size), self._series(self.inverse, size)
         return self.up[:n], self.down[:n]
 
@@ -144,6 +146,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         to = min(to, n)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, next to other workers."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

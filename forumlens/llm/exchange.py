@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from forumlens.llm.batches import U64, as_binary, mix, slices
+from forumlens.llm.batches import U64, as_binary, give_back, mix, slices
 from forumlens.session import written
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCKS_A_PART = 8  # parts follow the number of blocks, so that a part's size does not grow with the corpus
 ASKED = "part int, block long, keys binary, many binary"
 ANSWERED = "block long, keys binary"
@@ -110,6 +110,7 @@ def with_answers(blocks: DataFrame, answered: DataFrame, run: Callable, schema:
             keys = np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in right.column("keys").to_pylist())])
             keys.sort()
             out += list(run(block, opened(payload), keys))
+        give_back()
         return pa.Table.from_batches(out)
 
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(both, schema)

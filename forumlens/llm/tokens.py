@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from forumlens.llm.batches import BYTE_KEYS, BYTE_POWERS, FOLD, SPACES, U64, mix, ragged, utf8
 
-CACHED_UNITS = 1_500_000  # of one worker; beyond it the cache starts anew, results stay the same
+CACHED_UNITS = 200_000  # of one worker; beyond it the cache starts anew, results stay the same
 SPACE, LETTER, OTHER, DIGIT = 0, 1, 2, 3
 CLASSES = np.full(256, OTHER, np.uint8)
 CLASSES[SPACES] = SPACE
