@@ -28,13 +28,13 @@ def recall_50(spark, folder):
 
 
 def kmeans_30(spark, folder):
-    labels, _ = C.kmeans_sweep(models.reduced_vectors(spark, folder, 50), "doc_id", "svd", [30], restarts=1)
+    labels, _ = C.kmeans_sweep(models.reduced_vectors(spark, folder, 50), "doc_id", "svd", [30])
     return labels
 
 
 def grid_lr(spark, folder):
     train, _ = classifiers.prepared(spark, folder)
-    points = classify.grid("LR", (1000,), (1,), C=(1.0, 10.0), penalty=("l2",), iterations=(20,))
+    points = classify.grid("LR", (1000,), (1,), C=(1.0, 10.0), penalty=("l2",))
     return classify.grid_results(classify.cross_validate(written(classify.with_folds(train)), points))
 
 

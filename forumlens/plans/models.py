@@ -141,8 +141,9 @@ def topic_terms(spark, folder):
 @query("M9")
 def topic_sweep(spark, folder):
     docs, model = terms.document_vectors(spark, folder)
-    labels, _ = topics.lda_sweep(docs, "doc_id", model.stages[0].vocabulary, [3, 5], "counts")
-    return labels.groupBy("k", "cluster").agg(F.count("*").alias("docs"))
+    labels, lists = topics.lda_sweep(docs, "doc_id", model.stages[0].vocabulary, [3, 5], "counts")
+    counts = labels.groupBy("k", "cluster").agg(F.count("*").alias("docs"))
+    return lists.join(counts, ["k", "cluster"], "left").fillna(0, ["docs"])
 
 
 @query(
@@ -237,6 +238,53 @@ def cluster_recall(spark, folder):
     return recall.cluster_recall(clusters(spark, folder), seeds(spark, folder), ROUNDS, SEED)
 
 
+# Labels that come from the data's vectors: the nearest label mean of each embedding.
+VECTOR_CLUSTERS = f"""{DISTANCES},
+clusters AS (SELECT vec_id AS doc_id, 'kmeans' AS method, CAST(10 AS INTEGER) AS k, 2 AS min_df, 0.6::DOUBLE AS max_df,
+             CAST(arg_min(c, round(d, 9)) AS INTEGER) AS cluster
+             FROM (SELECT * FROM distances ORDER BY vec_id, c) GROUP BY vec_id),
+seeds AS (SELECT doc_id FROM labels WHERE toxic = 1)
+"""
+
+
+def vector_clusters(spark, folder):
+    measured, labels = with_distances(spark, folder)
+    near = C.nearest(F.transform("distances", lambda d: F.round(d, 9)))
+    return measured.select(
+        F.col("vec_id").alias("doc_id"),
+        F.lit("kmeans").alias("method"),
+        F.lit(len(labels)).alias("k"),
+        F.lit(2).alias("min_df"),
+        F.lit(0.6).alias("max_df"),
+        F.get(F.array(*[F.lit(int(x)) for x in labels]), near).alias("cluster"),
+    )
+
+
+@query("M2", "M5", "M11", "A17", sql=f"WITH {RECALL.replace(CLUSTERS, VECTOR_CLUSTERS)} SELECT * FROM recall")
+def chain_from_vectors(spark, folder):
+    """Labels from distances, seeds of each cluster, repeated splits, mean recall: one chain over the vectors."""
+    labels = written(vector_clusters(spark, folder), "labels")
+    return recall.cluster_recall(labels, seeds(spark, folder), ROUNDS, SEED)
+
+
+@query("M1", "M5", "M11", "A17")
+def chain_from_kmeans(spark, folder):
+    """The same chain from texts: terms, TF-IDF, SVD, k-means labels, recall of the seeds."""
+    labels, _ = C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [30])
+    return recall.cluster_recall(written(labels, "labels"), seeds(spark, folder), ROUNDS, SEED)
+
+
+@query("M8")
+def topic_seeds(spark, folder):
+    """Documents and seeds of each topic."""
+    bags, _, model = fitted_topics(spark, folder)
+    labels = topics.dominant_topics(model, bags, "doc_id").select("doc_id", F.lit("lda").alias("method"), F.lit(5).alias("k"), "cluster")
+    labels = written(labels, "labels")
+    sizes = labels.groupBy("method", "k", "cluster").agg(F.count("*").alias("docs"))
+    held = C.seeds_per_cluster(labels, seeds(spark, folder))
+    return sizes.join(held, ["method", "k", "cluster"], "left").fillna(0, ["n_seeds"])
+
+
 @query("W2", sql=f"WITH {TOP} SELECT method, k, cluster, CAST(rank AS INTEGER) AS rank FROM top")
 def top_clusters(spark, folder):
     held = C.seeds_per_cluster(clusters(spark, folder), seeds(spark, folder))

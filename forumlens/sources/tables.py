@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     plan = df._jdf.queryExecution().optimizedPlan()
     one_split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    small = int(plan.stats().sizeInBytes().toString()) <= one_split
+    small = int(plan.stats().sizeInBytes()) <= one_split
     return df.repartition(spark.sparkContext.defaultParallelism) if small else df
 
 
