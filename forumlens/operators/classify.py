@@ -22,6 +22,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens.functions.keys import draw_key
 from forumlens.functions.text import ngrams
 from forumlens.operators import filters, scoring
 from forumlens.operators.decompose import projected_rows
@@ -48,12 +49,16 @@ TREE_DEPTH = 30  # the deepest Spark grows
 def hold_out_split(df: DataFrame, key: str = "doc_id", label: str = "y", share: float = HOLD_OUT, seed: int = SEED):
     """Adds `hold_out`: `share` of every class, drawn by key.
 
-    Only keys and labels are ranked; the texts are joined once, by key.
+    Only keys and labels are ranked. What comes back to the rows is the last
+    draw of each class that is held out, one broadcast row per class, so texts
+    are marked where they are read.
     """
     ranked = rank_by_draw(df.select(key, label), [label], key, seed)
     totals = df.groupBy(label).agg(F.bround(F.count("*") * F.lit(share), 0).alias("__n"))
-    flags = ranked.join(totals, label).select(key, (F.col("rank") <= F.col("__n")).alias("hold_out"))
-    return df.join(flags, key)
+    draw = F.struct(draw_key(seed, F.col(key)).alias("d"), F.col(key).alias("k"))
+    last = ranked.join(totals, label).groupBy(label).agg(F.max(F.when(F.col("rank") <= F.col("__n"), draw)).alias("__last"))
+    marked = df.join(F.broadcast(last), label)
+    return marked.withColumn("hold_out", F.coalesce(draw <= F.col("__last"), F.lit(False))).drop("__last").select(*df.columns, "hold_out")
 
 
 def with_folds(df: DataFrame, key: str = "doc_id", label: str = "y", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
