@@ -277,7 +277,8 @@ def near_duplicates(
 
     # one text of each node that shares a bucket is enough: the least id's, from which its set is made again
     owners = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col))
-    texts = docs.join(owners.select(id_col).distinct(), id_col, "left_semi")
+    owners = owners.select(F.col(id_col).alias("owner")).distinct()
+    texts = docs.join(owners, docs[id_col].eqNullSafe(owners["owner"]), "left_semi")
     sets = written(sets_of(texts, text_col, size).dropDuplicates(["node"]), "sets")
     links = written(_linked(pairs, sets, percent), "links")
     found = components(links, "a", "b")

@@ -119,7 +119,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cols[0]) if any(x is not None for x in cols[0]) else pa.nulls(len(rows), pa.int64()),
+                    pa.array(cols[0], types[0]),
                     pa.array(cols[1], pa.int64()),
                     pa.array(map(len, cols[2]), pa.int64()),
                     pa.array([x.tobytes() for x in cols[2]], pa.binary()),
@@ -128,9 +128,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int
                 [id_col, *(f.split()[0] for f in FIELDS.split(", "))],
             )
 
-        rows, held = [], 0
+        def typed():
+            for batch in batches:
+                types[:] = [batch.schema.field(id_col).type]
+                yield batch
+
+        rows, held, types = [], 0, [pa.int64()]
         first = TaskContext.get().partitionId() << TASK_SHIFT
-        for piece in _pieces(batches, id_col, text_col, tokenizer, size, end_id, first):
+        for piece in _pieces(typed(), id_col, text_col, tokenizer, size, end_id, first):
             rows.append(piece)
             held += 4 * len(piece[2]) + 100
             if held > OUT_BYTES:

@@ -164,6 +164,14 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert [r.kept for r in rows if r.doc_id is None] == [True]
 
 
+def test_near_duplicates_without_ids(spark):
+    base = " ".join(f"n{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, base + " x"), (None, base + " y"), (4, base)], "doc_id int, text string")
+    found = near_duplicates.near_duplicates(rows, "doc_id", "text").collect()
+    assert [r.component_id for r in found] == [4, 4, 4] and sorted(r.kept for r in found) == [False, False, True]
+    assert {r.doc_id for r in packing.pack(rows, "doc_id", "text", tokenizer_path()).collect()} == {None, 4}
+
+
 def test_repeats_inside_one_text_and_across(spark, odd):
     rows = {r.doc_id: r for r in repeats.remove_repeats(odd.where("doc_id >= 9010"), "text").collect()}
     assert rows[9_014].rep_n_removed == 120 and rows[9_014].rep_kept == ""
