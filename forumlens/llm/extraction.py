@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ REFERENCES = 4  # pages of a host that every page of it is aligned with
 CONSTANT = 0.7  # share of the references in which a template's text is the same
 SALTS = 64
 # Elements beside the text of a page, and words in the names of such elements (fixed values).
-BESIDE = frozenset("head nav footer aside form button menu dialog fieldset figcaption".split())
+BESIDE = frozenset("head nav footer aside form button menu dialog fieldset".split())
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments "
     "consent cookie cookies copyright disclaimer disqus feedback foot footer form gdpr header legal login masthead menu "
@@ -71,14 +72,15 @@ def main_text(page: str, references: list[Node]) -> str:
     """Text blocks of the page that vary between pages of its host and belong to its article."""
     root = parse(page)
     found = blocks(root)
-    seen: dict[int, int] = {}
+    total, seen, compared = sum(len(n.text) for n, _ in found), Counter(), 0
     for other in references:
-        for x, y in match(root, other):
-            if x.label == TEXT and text_key(x.text) == y.text:
-                seen[id(x)] = seen.get(id(x), 0) + 1
-    if len(references) > 1:
-        varying = [(n, h) for n, h in found if seen.get(id(n), 0) < CONSTANT * len(references)]
-        found = varying or found
+        same = {id(x) for x, y in match(root, other) if x.label == TEXT and text_key(x.text) == y.text}
+        if 2 * sum(len(n.text) for n, _ in found if id(n) in same) > total:
+            continue  # a near copy of this page shows nothing about the host's template
+        seen.update(same)
+        compared += 1
+    if compared > 1:
+        found = [(n, h) for n, h in found if h or seen[id(n)] < CONSTANT * compared]
     for holder in ("article", "main"):
         if any(h == holder for _, h in found):
             return " ".join(n.text for n, h in found if h == holder)
@@ -134,9 +136,11 @@ def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_"
     pages of its host. Text that is the same in nearly all of them is template;
     slots that vary are content, unless they stand in elements beside the
     article (menus, headers, footers, sidebars, notices, adverts, forms,
-    comments; by tag, class, id or role). With an `article` or `main` element
-    only text inside it counts. Hosts with fewer than three different pages have
-    no template, and a page all of which is constant keeps its text.
+    comments; by tag, class, id or role). An `article` or `main` element is one
+    varying slot: only text inside it counts, and lines in it that other pages
+    have too are its own. References that share most of a page's text are
+    near copies of it and are left out; with fewer than two others a page has no
+    template.
 
     Character references are decoded, white space in a block is one space, and
     blocks are joined by one space; nothing is shortened. Null or empty html
