@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from forumlens.llm.dom import TEXT, Node, from_skeleton, match, parse, skeleton
 
-REFERENCES = 4  # pages of a host that every page of it is aligned with
+REFERENCES = 8  # pages of a host that every page of it is aligned with
 CONSTANT = 0.7  # share of the references in which a template's text is the same
+MANY = 4  # references that are needed to call a line of an article template
 SALTS = 64
 # Elements beside the text of a page, and words in the names of such elements (fixed values).
 BESIDE = frozenset("head nav footer aside form button menu dialog fieldset".split())
@@ -69,21 +70,27 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
 
 
 def main_text(page: str, references: list[Node]) -> str:
-    """Text blocks of the page that vary between pages of its host and belong to its article."""
+    """Text blocks of the page that vary between pages of its host; names and elements decide between these."""
     root = parse(page)
     found = blocks(root)
-    total, seen, compared = sum(len(n.text) for n, _ in found), Counter(), 0
-    for other in references:
-        same = {id(x) for x, y in match(root, other) if x.label == TEXT and text_key(x.text) == y.text}
-        if 2 * sum(len(n.text) for n, _ in found if id(n) in same) > total:
-            continue  # a near copy of this page shows nothing about the host's template
-        seen.update(same)
-        compared += 1
+    sames = [
+        {id(x) for x, y in match(root, other) if x.label == TEXT and text_key(x.text) == y.text} for other in references
+    ]
+    common = {k for k, n in Counter(k for same in sames for k in same).items() if n >= max(2, CONSTANT * len(sames))}
+    own = [(id(n), len(n.text)) for n, _ in found if id(n) not in common]
+    total = sum(size for _, size in own)
+    # a near copy of this page (beside what the pages of the host share) shows nothing about the host's template
+    sames = [same for same in sames if 2 * sum(size for k, size in own if k in same) <= total]
+    seen, compared = Counter(k for same in sames for k in same), len(sames)
     if compared > 1:
-        found = [(n, h) for n, h in found if h or seen[id(n)] < CONSTANT * compared]
+        found = [(n, h) for n, h in found if seen[id(n)] < CONSTANT * compared or h and compared < MANY]
     for holder in ("article", "main"):
-        if any(h == holder for _, h in found):
-            return " ".join(n.text for n, h in found if h == holder)
+        inside = [n for n, h in found if h == holder]
+        if inside:
+            outside = sum(len(n.text) for n, h in found if not h and n.linked * 2 < len(n.text))
+            if compared >= MANY and sum(len(n.text) for n in inside) < outside:
+                break  # most of the text that varies is in other slots
+            return " ".join(n.text for n in inside)
     # no element says where the text is: lists of links are not in it
     return " ".join(n.text for n, _ in found if n.linked * 2 < len(n.text) or len(n.text) > 200)
 
@@ -133,14 +140,13 @@ def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_"
     """Add `<prefix>text`: the article of each page.
 
     Every page is aligned by simple tree matching with up to `REFERENCES` other
-    pages of its host. Text that is the same in nearly all of them is template;
-    slots that vary are content, unless they stand in elements beside the
-    article (menus, headers, footers, sidebars, notices, adverts, forms,
-    comments; by tag, class, id or role). An `article` or `main` element is one
-    varying slot: only text inside it counts, and lines in it that other pages
-    have too are its own. References that share most of a page's text are
-    near copies of it and are left out; with fewer than two others a page has no
-    template.
+    pages of its host, near copies of the page left out. Text that is the same in
+    nearly all of them is template, inside an `article` or `main` element too if
+    at least `MANY` were compared. Slots that vary are content, unless they stand
+    in elements beside the article (menus, headers, footers, sidebars, notices,
+    adverts, forms, comments; by tag, class, id or role). Where text varies
+    inside an `article` or `main` element and outside, the text inside counts,
+    unless it is the smaller part.
 
     Character references are decoded, white space in a block is one space, and
     blocks are joined by one space; nothing is shortened. Null or empty html

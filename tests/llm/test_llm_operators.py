@@ -319,6 +319,18 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert Counter(r.main_text for r in got.collect()) == {"Site wide claim Title 3 First & boldtext 3 line Second <3> paragraph": 50}
 
 
+def test_template_lines_inside_an_article_go(spark):
+    page = "<body><p>Top</p><article><h1>Title {n}</h1><p>{line}</p><p>Body {n} of the text</p><p>Share this story now</p></article>"
+    rows = [(k, f"http://a.example/{k}", page.format(n=k, line="Same words" if k < 3 else f"Lead {k}")) for k in range(12)]
+    card = "<article><p>Read our magazine</p></article><div class=text><p>Story {n} is here</p><p>and ends {n}</p></div>"
+    rows += [(100 + k, f"http://b.example/{k}", card.format(n=k)) for k in range(12)]
+    got = {r.i: r.main_text for r in extraction.extract(spark.createDataFrame(rows, "i long, u string, h string"), "u", "h").collect()}
+    for k in range(12):
+        line = "Same words" if k < 3 else f"Lead {k}"  # a line of few pages is their own
+        assert got[k] == f"Title {k} {line} Body {k} of the text"
+        assert got[100 + k] == f"Story {k} is here and ends {k}"
+
+
 def test_shrinking_follows_the_spread_of_sites(spark):
     rows = [(f"s{s}", "p", float(i % 10 < s)) for s in range(11) for i in range(200)] + [("few", "p", 1.0), (None, None, None)]
     level = quality.shrunk(spark.createDataFrame(rows, "site string, path string, y double"), "y", ["site"], quality.F.lit(0.5), "rate")
