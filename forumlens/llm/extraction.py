@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from forumlens.llm.dom import TEXT, Node, from_skeleton, match, parse, skeleton
 
-REFERENCES = 8  # pages of a host that every page of it is aligned with
+REFERENCES = 8  # pages of a layout of a host that every page of it is aligned with
+CANDIDATES = 16  # pages of a layout that these are chosen from, near copies left out
+FEWEST = 4  # references of a layout, itself counted, below which other layouts of the host are used too
 CONSTANT = 0.7  # share of the references in which a template's text is the same
 MANY = 4  # references that are needed to call a line of an article template
-SALTS = 64
+SALTS = 16
+# Start tags of elements that hold blocks, with their class: what a layout consists of.
+LAYOUT = r"<((?:body|div|section|article|main|nav|aside|header|footer|form)\b(?:[^>]{0,300}?\sclass\s*=\s*[\"']?[a-z _-]*)?)"
 # Elements beside the text of a page, and words in the names of such elements (fixed values).
 BESIDE = frozenset("head nav footer aside form button menu dialog fieldset".split())
 BESIDE_WORDS = frozenset(
@@ -69,6 +73,11 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
     return out
 
 
+def layout(page: Column) -> Column:
+    """A number for the kinds of block-holding elements in a page, whatever their number and order."""
+    return F.xxhash64(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(page), F.lit(LAYOUT), F.lit(1)))))
+
+
 def main_text(page: str, references: list[Node]) -> str:
     """Text blocks of the page that vary between pages of its host; names and elements decide between these."""
     root = parse(page)
@@ -95,58 +104,101 @@ def main_text(page: str, references: list[Node]) -> str:
     return " ".join(n.text for n, _ in found if n.linked * 2 < len(n.text) or len(n.text) > 200)
 
 
-def _picked(rows: pa.Table) -> pa.Table:
+def _least(rows: pa.Table) -> pa.Table:
     """The rows with the least distinct keys."""
     rows = rows.sort_by("key")
     keys = rows.column("key").to_pylist()
-    some = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]][:REFERENCES]
+    some = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]][:CANDIDATES]
     return rows.take(pa.array(some, pa.int64()))
 
 
+def distinct_trees(trees: list[str]) -> list[int]:
+    """Positions of the first `REFERENCES` trees of which none is a near copy of another.
+
+    Text that most trees have is no sign of a copy, unless a page has hardly any
+    other: pages that share nearly everything are copies of each other.
+    """
+    texts = []
+    for tree in trees:
+        keys = (line.split(" ")[2] for line in tree.split("\n"))
+        texts.append({k: int(k[16:], 16) for k in keys if k})
+    held = Counter(k for t in texts for k in t)
+    common = {k for k, n in held.items() if n >= max(2, CONSTANT * len(texts))}
+    kept: list[int] = []
+    for i, own in enumerate(texts):
+        rest = {k: n for k, n in own.items() if k not in common}
+        bare = 10 * sum(rest.values()) < sum(own.values())
+        for j in kept:
+            if bare:
+                shared, total = sum(n for k, n in own.items() if k in texts[j]), sum(own.values())
+            else:
+                shared, total = sum(n for k, n in rest.items() if k in texts[j]), sum(rest.values())
+            if 2 * shared > total:
+                break
+        else:
+            kept.append(i)
+    return kept[:REFERENCES]
+
+
 def references(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, trees): skeletons of a few pages of each host, those with the least hashes of their text.
+    """(host, layout, keys, trees): skeletons of pages of each layout of a host, those with the least hashes of their text.
 
-    Each task keeps the least of each host it meets; these are put together by
-    host and salt and then by host, so a host with a third of all pages is no
-    more work for any task than the few pages each has kept.
+    Each task keeps the least of each layout it meets; these are put together by
+    host, layout and salt and then by host and layout, so a host with a third of
+    all pages is no more work for any task than the few pages each has kept.
+    Near copies are left out at the end. The layout null stands for all pages of
+    the host.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict[int, str]] = {}
+        kept: dict[tuple[str, int | None], dict[int, str]] = {}
         for batch in batches:
-            for at, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "page"))):
-                own = kept.setdefault(at, {})
-                if key not in own and (len(own) < REFERENCES or key < max(own)):
-                    own[key] = page
-                    if len(own) > REFERENCES:
-                        del own[max(own)]
-        for at, own in kept.items():
-            trees = [skeleton(parse(p), text_key) for p in own.values()]
-            columns = [pa.array([at] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array(trees, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "tree"])
-
-    kind = "host string, key long, tree string"
-    rows = pages.select(host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("key"), F.col(html_col).alias("page"))
+            for at, kind, key, page in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "key", "page"))):
+                for group in ((at, kind), (at, None)):
+                    own = kept.setdefault(group, {})
+                    if key not in own and (len(own) < CANDIDATES or key < max(own)):
+                        own[key] = page
+                        if len(own) > CANDIDATES:
+                            del own[max(own)]
+        made: dict[int, str] = {}
+        for (at, kind), own in kept.items():
+            for k, p in own.items():
+                if k not in made:
+                    made[k] = skeleton(parse(p), text_key)
+            n = len(own)
+            columns = [pa.array([at] * n, pa.string()), pa.array([kind] * n, pa.int64()), pa.array(own, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([made[k] for k in own], pa.string())], names)
+
+    def chosen(rows: pa.Table) -> pa.Table:
+        rows = _least(rows)
+        return rows.take(pa.array(distinct_trees(rows.column("tree").to_pylist()), pa.int64()))
+
+    names = ["host", "layout", "key", "tree"]
+    kind = "host string, layout long, key long, tree string"
+    page = F.col(html_col)
+    rows = pages.select(host(F.col(url_col)).alias("host"), layout(page).alias("layout"), F.xxhash64(page).alias("key"), page.alias("page"))
     some = rows.where("host <> '' and page is not null").mapInArrow(run, kind)
-    salted = some.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("host", "salt").applyInArrow(
-        lambda rows: _picked(rows).select(["host", "key", "tree"]), kind
+    salted = some.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("host", "layout", "salt").applyInArrow(
+        lambda rows: _least(rows).select(names), kind
     )
-    least = salted.groupBy("host").applyInArrow(_picked, kind)
+    least = salted.groupBy("host", "layout").applyInArrow(chosen, kind)
     ordered = F.sort_array(F.collect_list(F.struct("key", "tree")))
-    return least.groupBy("host").agg(F.transform(ordered, lambda x: x["tree"]).alias("trees"), F.transform(ordered, lambda x: x["key"]).alias("keys"))
+    return least.groupBy("host", "layout").agg(F.transform(ordered, lambda x: x["tree"]).alias("trees"), F.transform(ordered, lambda x: x["key"]).alias("keys"))
 
 
 def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_") -> DataFrame:
     """Add `<prefix>text`: the article of each page.
 
     Every page is aligned by simple tree matching with up to `REFERENCES` other
-    pages of its host, near copies of the page left out. Text that is the same in
-    nearly all of them is template, inside an `article` or `main` element too if
-    at least `MANY` were compared. Slots that vary are content, unless they stand
-    in elements beside the article (menus, headers, footers, sidebars, notices,
-    adverts, forms, comments; by tag, class, id or role). Where text varies
-    inside an `article` or `main` element and outside, the text inside counts,
-    unless it is the smaller part.
+    pages of its host that have its layout (the same kinds of block-holding
+    elements); where these are fewer than `FEWEST`, pages of other layouts of the
+    host are used too. Near copies of each other are left out of these, and near
+    copies of the page. Text that is the same in nearly all of them is template, inside an
+    `article` or `main` element too if at least `MANY` were compared. Slots that
+    vary are content, unless they stand in elements beside the article (menus,
+    headers, footers, sidebars, notices, adverts, forms, comments; by tag, class,
+    id or role). Where text varies inside an `article` or `main` element and
+    outside, the text inside counts, unless it is the smaller part.
 
     Character references are decoded, white space in a block is one space, and
     blocks are joined by one space; nothing is shortened. Null or empty html
@@ -156,24 +208,33 @@ def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_"
     page_columns = [f"`{c}`" for c in pages.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
     made = references(pages, url_col, html_col)
+    page = F.col(html_col)
     rows = pages.select(
-        F.struct(*(F.col(c) for c in page_columns)).alias("page"), host(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("key")
-    )
-    joined = rows.join(made, "host", "left").select(
-        "page", "host", F.col("key"), F.when(F.col("trees").isNotNull(), F.col("trees")).alias("trees"), "keys"
+        F.struct(*(F.col(c) for c in page_columns)).alias("page"), host(F.col(url_col)).alias("host"),
+        layout(page).alias("layout"), F.xxhash64(page).alias("key"),
+    )
+    same = made.where("layout is not null").select(F.col("host").alias("h"), F.col("layout").alias("l"), F.struct("keys", "trees").alias("same"))
+    others = made.where("layout is null").select(F.col("host").alias("o"), F.struct("keys", "trees").alias("others"))
+    known = same.join(others, F.col("h") == F.col("o")).select("h", "l", "same", "others")
+    joined = rows.join(known, (F.col("host") == F.col("h")) & F.col("layout").eqNullSafe(F.col("l")), "left").select(
+        "page", "host", "layout", "key", "same", "others"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trees, keys = None, [], []
+        at, near = None, []
         for batch in batches:
             page = batch.column("page")
-            hosts, own, held = (batch.column(c) for c in ("host", "key", "keys"))
+            hosts, kinds, own = (batch.column(c).to_pylist() for c in ("host", "layout", "key"))
             texts = []
-            for i, (name, key, raw) in enumerate(zip(hosts.to_pylist(), own.to_pylist(), page.field(html_col).to_pylist())):
-                if name != at:
-                    at, keys = name, held[i].as_py() or []
-                    trees = [from_skeleton(t) for t in batch.column("trees")[i].as_py() or []]
-                texts.append(main_text(raw or "", [t for t, k in zip(trees, keys) if k != key]))
+            for i, (key, raw) in enumerate(zip(own, page.field(html_col).to_pylist())):
+                if (hosts[i], kinds[i]) != at:
+                    at = (hosts[i], kinds[i])
+                    same, others = (batch.column(c)[i].as_py() or {"keys": [], "trees": []} for c in ("same", "others"))
+                    found = dict(zip(same["keys"], same["trees"]))
+                    if len(found) < FEWEST:
+                        found |= dict(zip(others["keys"], others["trees"]))
+                    near = [(k, from_skeleton(t)) for k, t in found.items()]
+                texts.append(main_text(raw or "", [t for k, t in near if k != key]))
             yield pa.RecordBatch.from_arrays(
                 [*(page.field(k) for k in range(page.type.num_fields)), pa.array(texts, pa.string())],
                 [*(page.type.field(k).name for k in range(page.type.num_fields)), f"{prefix}text"],

@@ -331,6 +331,20 @@ def test_template_lines_inside_an_article_go(spark):
         assert got[100 + k] == f"Story {k} is here and ends {k}"
 
 
+def test_every_layout_of_a_host_has_a_template(spark):
+    notice = "<p>Notice of the {kind} pages that all of these share</p>"
+    rows = []
+    for k in range(300):
+        kind = "rare" if k % 50 == 0 else "common"
+        text = f"<p>{kind} story {k}</p>" + notice.format(kind=kind)
+        rows.append((k, f"http://h.example/{k}", f"<body><div class={kind}>{text}</div>" if kind == "common" else f"<body><section class=x>{text}</section>"))
+    heavy = "<body><div>" + "<p>These words stand on each page of this site</p>" * 4 + "<p>Own text {n}</p></div>"
+    rows += [(1000 + k, f"http://w.example/{k}", heavy.format(n=k)) for k in range(9)]
+    got = {r.i: r.main_text for r in extraction.extract(spark.createDataFrame(rows, "i long, u string, h string"), "u", "h").collect()}
+    assert all(got[k] == f"{'rare' if k % 50 == 0 else 'common'} story {k}" for k in range(300))
+    assert all(got[1000 + k] == f"Own text {k}" for k in range(9))
+
+
 def test_shrinking_follows_the_spread_of_sites(spark):
     rows = [(f"s{s}", "p", float(i % 10 < s)) for s in range(11) for i in range(200)] + [("few", "p", 1.0), (None, None, None)]
     level = quality.shrunk(spark.createDataFrame(rows, "site string, path string, y double"), "y", ["site"], quality.F.lit(0.5), "rate")
