@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,26 @@ TEMPLATES = {
 }
 PERCENT = 80
 BREAK = "[^A-Za-z0-9]+"
+PARAGRAPH_WORDS = 15  # a shorter paragraph of a licence says too little to stand for it
+
+
+def standard_texts() -> dict[str, str]:
+    """The whole licence texts and headers in `licences`, and the paragraphs of headers and short texts.
+
+    A paragraph that several licences share does not tell them apart and is left
+    out, so what is met inside a longer document names its licence.
+    """
+    texts = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+    paragraphs = {n: [" ".join(p.split()) for p in re.split(r"\n[ \t\r]*\n", t)] for n, t in texts.items() if not n.endswith(" text")}
+    held = Counter(p for own in paragraphs.values() for p in set(own))
+    for name, own in paragraphs.items():
+        for k, p in enumerate(own, 1):
+            if len(own) > 1 and held[p] == 1 and len(p.split()) >= PARAGRAPH_WORDS:
+                texts[f"{name} part {k}"] = p
+    return texts
+
+
+TEMPLATES |= standard_texts()
 
 
 def bigrams(text: str) -> list[str]:
@@ -102,7 +124,7 @@ def scan(
         size = F.size(own)
         cells = []
         for rank, (_, template) in enumerate(made.items()):
-            common = F.size(F.array_intersect(own, F.array(*map(F.lit, template))))
+            common = F.size(F.array_intersect(own, F.split(F.lit("\n".join(template)), "\n")))
             dice = F.when(fits(size, len(template), percent), 2.0 * common / (size + len(template))).otherwise(0.0)
             cells.append(F.struct(dice.alias("dice"), F.lit(-rank).alias("rank")))
         return F.array_max(F.array(*cells))

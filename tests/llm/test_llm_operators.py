@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -271,6 +272,21 @@ def test_licenses_by_size_and_ties(spark):
     assert {r.lic_name for r in none.collect()} == {None}
 
 
+def test_standard_licences_in_documents(spark):
+    def text(name):
+        return (Path(licenses.__file__).parent / "licences" / f"{name}.txt").read_text()
+
+    around = "some words of the story go on and on\n\n"
+    wanted = {f"{n} text": text(f"{n} text") for n in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    wanted |= {n: text(n) for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT full", "EPL-2.0 header", "AGPL-3.0 header")}
+    inside = ["GPL-3.0 header", "GPL-2.0 header", "LGPL-2.1 header", "AGPL-3.0 header", "Apache-2.0 header", "BSD-3-Clause", "MIT full"]
+    rows = list(wanted.items()) + [(f"in {n}", around * 60 + text(n) + "\n" + around * 60) for n in inside]
+    got = {r.i: r.lic_name for r in licenses.scan(spark.createDataFrame(rows, "i string, t string"), "t").collect()}
+    # a whole text may end with the licence's own header, which is as much like itself and comes first by name
+    assert {n: (got[n] or "").split(" ")[0] for n in wanted} == {n: n.split(" ")[0] for n in wanted}
+    assert {n: (got[f"in {n}"] or "").split(" ")[0] for n in inside} == {n: n.split(" ")[0] for n in inside}
+
+
 def brute_match(a, b):
     if a.label != b.label:
         return 0
