@@ -16,6 +16,7 @@ from forumlens.llm.batches import BYTE_KEYS, BYTE_POWERS, U64, Words, mix, slice
 from forumlens.session import written
 
 SAMPLE = 20_000  # labelled texts that the word weights are learned from, at most
+HELD = 4  # one in so many labelled ids is kept from the word weights, for the curve from evidence to odds
 BUCKETS = 1 << 20
 SIGNIFICANT = 20.0  # log-likelihood ratio (G) of a bucket's two-by-two table
 RULE = np.full(256, ord("a"), np.uint8)  # letters and bytes outside ASCII
@@ -56,8 +57,13 @@ def features(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def held_out(id_col: str) -> Column:
+    """Labelled ids that word weights never see, whatever the number of labels."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(HELD)) == 0
+
+
 def sampled(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
-    return labelled.orderBy(F.xxhash64(F.col(id_col), F.lit(8)), id_col).limit(most)
+    return labelled.where(~held_out(id_col)).orderBy(F.xxhash64(F.col(id_col), F.lit(8)), id_col).limit(most)
 
 
 def word_weights(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame, classes: list[str]) -> dict[str, np.ndarray]:
@@ -179,7 +185,8 @@ def classify(
     A score is the posterior probability of a class (0 to 1), from three sources:
     word weights learned on at most `sample` labelled texts (the one bound; they
     are drawn by hash); a logistic curve from evidence to odds, fitted on the
-    labelled rows outside that sample (on all, if there are none); and the
+    labelled rows that are held out from the draw, one in `HELD` ids at every
+    size (without both values among them the evidence has no say); and the
     posterior of the document's path, which is shrunk to that of its site, and
     that to the share among all labelled rows. Shares count every labelled row;
     groups are aggregated before they are shuffled, so a site with a third of
@@ -195,22 +202,19 @@ def classify(
     weights = word_weights(docs, id_col, text_col, drawn, classes)
     keep = list(dict.fromkeys([id_col, site_col, path_col]))
     rows = evidence(docs, text_col, weights, keep)
-    learned = drawn.select(F.col(id_col), F.lit(1).alias("learned"))
-    rows = written(rows.join(labels, id_col, "left").join(learned, id_col, "left"), "evidence")
+    rows = written(rows.join(labels, id_col, "left"), "evidence")
     for c in classes:
         rows = rows.withColumn(c, (F.col(c) > 0).cast("double"))
-        shares = rows.agg(F.avg(c).alias("all"), F.avg(F.when(F.col("learned").isNull(), F.col(c))).alias("other")).first()
+        shares = rows.agg(F.avg(c).alias("all"), F.avg(F.when(held_out(id_col), F.col(c))).alias("held")).first()
         mean = 0.5 if shares["all"] is None else shares["all"]
         site = shrunk(rows, c, [site_col], F.lit(mean), f"{c}_site")
         rows = _joined(rows, site, [site_col], f"{c}_site")
         path = shrunk(rows, c, [site_col, path_col], F.col(f"{c}_site"), f"{c}_path")
         rows = _joined(rows, path, [site_col, path_col], f"{c}_path")
         ratio = F.lit(0.0)
-        fit_on = rows.where(F.col(c).isNotNull())
-        fitted_share = shares["all"]
-        if shares["other"] is not None and 0 < shares["other"] < 1:
-            fit_on, fitted_share = fit_on.where(F.col("learned").isNull()), shares["other"]
+        fitted_share = shares["held"]
         if fitted_share is not None and 0 < fitted_share < 1:
+            fit_on = rows.where(F.col(c).isNotNull() & held_out(id_col))
             made = VectorAssembler(inputCols=[f"evidence_{c}"], outputCol="x").transform(fit_on.select(f"evidence_{c}", c))
             curve = LogisticRegression(featuresCol="x", labelCol=c, regParam=1e-4, maxIter=50).fit(made)
             ratio = curve.coefficients[0] * F.col(f"evidence_{c}") + curve.intercept - float(np.log(fitted_share / (1 - fitted_share)))

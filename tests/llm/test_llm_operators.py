@@ -368,6 +368,14 @@ def test_shrinking_follows_the_spread_of_sites(spark):
     assert abs(rates["s10"] - 1) < 0.05 and 0.5 < rates["few"] < 0.9 and rates[None] == pytest.approx(0.5)
 
 
+@pytest.mark.parametrize("sample", [20_000, 100])
+def test_quality_curve_rows_are_never_word_rows(spark, sample):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, good int")
+    drawn = {r.doc_id for r in quality.sampled(labels, "doc_id", sample).collect()}
+    held = {r.doc_id for r in labels.where(quality.held_out("doc_id")).collect()}
+    assert len(drawn) == min(sample, 400 - len(held)) and 60 < len(held) < 140 and not drawn & held
+
+
 def test_quality_with_odd_rows(spark, odd):
     labels = spark.createDataFrame([(9_007, 1), (9_010, 0), (9_010, 1), (9_011, None), (None, 1)], "doc_id long, good int")
     rows = quality.classify(odd, "doc_id", "text", "source", "lang", labels, ["good"]).collect()
