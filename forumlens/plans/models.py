@@ -119,7 +119,7 @@ def kmeans_sweep_summary(spark, folder):
     return C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [15, 30])[1]
 
 
-def fitted_topics(spark, folder, k=5, passes=1.0):
+def fitted_topics(spark, folder, k=5, passes=topics.STEPS):
     docs, model = terms.document_vectors(spark, folder)
     words = model.stages[0].vocabulary
     bags = docs.select("doc_id", "counts")
