@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from forumlens.operators import ranking
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from forumlens.operators import clusters, recall
 
 LABELS = "doc_id INT, method STRING, k INT, cluster INT"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from conftest import rows
+from frames import rows
 from forumlens.operators import corpus, filters
 
 

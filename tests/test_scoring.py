@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from forumlens.operators import classify, scoring
 
 SCHEMA = "classifier STRING, y INT, yhat INT, score DOUBLE"

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import rows
+from frames import rows
 from forumlens.sources import dumps, summaries, tables
 from forumlens.streaming.dumps import append_new_dumps
 
