@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, extraction, fingerprints, language, language_model, licenses, near_duplicates, packing, quality, repeats
+from forumlens.llm import decontamination, extraction, fingerprints, hard_negatives, language, language_model, licenses, near_duplicates, packing, quality, repeats, swap_packing
 from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,22 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in few sequences of 1024 tokens."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    pieces = swap_packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
+
+
+@query(sql=hard_negatives.check_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as an anchor's positives."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), "vec_id", "embedding", "label", F.col("id") % 50 == 0)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of `corpus_pipeline` over the documents."""
