@@ -8,7 +8,7 @@ from forumlens.operators import filters
 from forumlens.plans.registry import query
 from forumlens.plans.views import table
 from forumlens.session import new_path
-from forumlens.sources import tables
+from forumlens.sources import tables, xz
 from forumlens.sources.dumps import read_dump
 from forumlens.streaming.dumps import append_new_dumps
 
@@ -33,6 +33,20 @@ def compressed_ndjson_scan(spark, folder):
     return dump.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+def xz_dumped(spark, folder):
+    """Documents as an NDJSON dump in .xz files of many blocks."""
+    path = new_path(spark, "xz-dump")
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    xz.write_xz_lines(docs.select(F.to_json(F.struct("doc_id", "text", "lang"))), path, block_bytes=1 << 20)
+    return path
+
+
+@query("S3", sql="SELECT doc_id, text, lang FROM documents")
+def xz_scan(spark, folder):
+    """Read with a task for each block of the files."""
+    return read_dump(spark, xz_dumped(spark, folder), DUMP_SCHEMA).select("doc_id", "text", "lang")
+
+
 @query("S5", "C6", sql="SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey, o_orderpriority FROM orders")
 def table_sink_with_index(spark, folder):
     path = new_path(spark, "orders")
@@ -61,15 +75,26 @@ def reusable_artefact(spark, folder):
     return tables.load_or_compute(spark, path, compute)
 
 
-@query("X1", sql="SELECT doc_id, lang, text FROM documents WHERE lang = 'en' AND lower(text) NOT IN ('deleted', 'removed')")
-def stream_of_dumps(spark, folder):
-    """A file stream that filters new dump files and appends them."""
+KEPT_POSTS = "SELECT doc_id, lang, text FROM documents WHERE lang = 'en' AND lower(text) NOT IN ('deleted', 'removed')"
+
+
+def streamed(spark, dump):
+    """A file stream that filters the files of a dump and appends them to a table."""
     output = new_path(spark, "stream-out")
 
     def rules(batch):
         kept = batch.where((F.col("lang") == "en") & filters.not_marker(F.col("text"), ["deleted", "removed"]))
         return kept.select("doc_id", "lang", "text")
 
-    run = append_new_dumps(spark, dumped(spark, folder), DUMP_SCHEMA, rules, output, new_path(spark, "stream-state"))
-    run.awaitTermination()
+    append_new_dumps(spark, dump, DUMP_SCHEMA, rules, output, new_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(output).select("doc_id", "lang", "text")
+
+
+@query("X1", sql=KEPT_POSTS)
+def stream_of_dumps(spark, folder):
+    return streamed(spark, dumped(spark, folder))
+
+
+@query("X1", "S3", sql=KEPT_POSTS)
+def stream_of_xz_dumps(spark, folder):
+    return streamed(spark, xz_dumped(spark, folder))

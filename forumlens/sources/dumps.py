@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from forumlens.sources.tables import with_source_file
+from forumlens.sources.xz import read_xz_lines
 
 # Field names and types of the dump records.
 COMMUNITY_SCHEMA = (
@@ -24,43 +28,51 @@ COMMENT_SCHEMA = (
 CORRUPT = "_corrupt_record"
 
 
-def reject_xz(path: str) -> None:
-    """Spark has no xz codec and would read such a file as all-null rows."""
-    if path.rstrip("*").endswith(".xz"):
-        raise ValueError(f"{path}: .xz dumps cannot be read; recompress as .zst, .gz or .bz2")
+NOT_XZ = "{*[!z],*[!x]z}"  # names that do not end in xz
+
+
+def xz_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The .xz files at some paths: files, folders or patterns. Only names are listed."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(list(paths)).select("path")
+    return sorted(r.path for r in found.collect())
 
 
-def reject_xz_in(spark: SparkSession, folder: str) -> None:
-    """The same for every file of a folder; only names are listed."""
-    reject_xz(folder)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xz").load(folder).select("path").first()
-    if found:
-        reject_xz(found.path)
+def parsed(lines: DataFrame, fields: StructType) -> DataFrame:
+    """JSON records of (value, source_file) lines; a line that is no JSON is kept in `_corrupt_record`."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    some = lines.where(F.trim("value") != "")
+    record = some.select(F.from_json("value", fields, options).alias("r"), "source_file")
+    return record.select("r.*", "source_file")
 
 
 def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """NDJSON records (plain, .gz, .bz2 or .zst) with their source file.
+    """NDJSON records (plain, .gz, .bz2, .zst or .xz) with their source file.
 
+    `path` is a file, a folder or a pattern, and may hold files of all kinds.
     The schema is always given, so only named fields are parsed and nothing is
     read twice to infer types. Lines that are no JSON come back as null rows
     with their text in `_corrupt_record`.
 
-    A compressed file is one split, parsed by one task. Filter it and write the
-    rows as parquet once (`tables.load_or_compute`, or the file stream) before
-    any text work, which then runs on all splits of that table.
+    An .xz file is read with a task for each of its blocks (`sources.xz`), so
+    one huge dump is spread over the cluster. A file of another codec is one
+    split, parsed by one task: filter it and write the rows as parquet once
+    (`tables.load_or_compute`, or the file stream) before any text work.
     """
-    reject_xz(path)
+    return read_dumps(spark, [path], schema)
+
+
+def read_dumps(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """`read_dump` of several paths."""
     fields = StructType.fromDDL(schema).add(CORRUPT, "string")
-    records = (
-        spark.read.schema(fields)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    xz = [f for f in records.inputFiles() if f.endswith(".xz")]
-    if xz:
-        reject_xz(xz[0])
-    return with_source_file(records)
+    xz = xz_paths(spark, paths)
+    others = [p for p in paths if not p.endswith(".xz")]
+    found = [parsed(read_xz_lines(spark, xz), fields)] if xz else []
+    if others:
+        reader = spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        found.append(with_source_file(reader.option("pathGlobFilter", NOT_XZ).json(others)))
+    if not found:
+        raise FileNotFoundError(f"no dump at {list(paths)}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def nested_field(document, path: str):

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from forumlens.sources.dumps import CORRUPT, reject_xz_in
-from forumlens.sources.tables import with_source_file, write_table
+from forumlens.sources.dumps import read_dumps
+from forumlens.sources.tables import write_table
 
 
 def append_new_dumps(
@@ -22,24 +21,23 @@ def append_new_dumps(
 ) -> StreamingQuery:
     """Filter all dump files not seen before and append the rows to a parquet table.
 
-    The filters keep no state between batches. Each batch writes its own
-    folder `batch=<id>` in overwrite mode, so a batch repeated after a failure
-    replaces its first attempt and no row is appended twice. A batch with an
-    .xz file fails as a whole. Lines that are no JSON are null rows with their
-    text in `_corrupt_record`; the rules decide about them.
+    The stream is one of file names; a batch reads its files with `read_dump`,
+    so all codecs and .xz are taken alike. The filters keep no state between
+    batches. Each batch writes its own folder `batch=<id>` in overwrite mode,
+    so a batch repeated after a failure replaces its first attempt and no row
+    is appended twice. Lines that are no JSON are null rows with their text in
+    `_corrupt_record`; the rules decide about them.
     """
-    reject_xz_in(spark, folder)
-    fields = StructType.fromDDL(schema).add(CORRUPT, "string")
-    records = with_source_file(
-        spark.readStream.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(folder)
-    )
+    files = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    names = spark.readStream.format("binaryFile").schema(files).load(folder).select("path")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        reject_xz_in(spark, folder)  # before any row of the batch is read or written
-        write_table(rules(batch), f"{output}/batch={batch_id}", mode="overwrite")
+        paths = [r.path for r in batch.collect()]  # of this batch's files only
+        records = read_dumps(spark, paths, schema)
+        write_table(rules(records), f"{output}/batch={batch_id}", mode="overwrite")
 
     return (
-        records.writeStream.foreachBatch(write)
+        names.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

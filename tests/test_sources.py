@@ -1,11 +1,17 @@
 """Dumps, sinks, artefacts and the file stream."""
 
+import gzip
+import io
 import json
+import lzma
+import os
 
 import pytest
-
 from frames import rows
-from forumlens.sources import dumps, summaries, tables
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from forumlens.sources import dumps, summaries, tables, xz
 from forumlens.streaming.dumps import append_new_dumps
 
 
@@ -33,11 +39,79 @@ def test_zstd_dump(spark, tmp_path):
     assert rows(got.select("id", "body")) == [("a", "é")]
 
 
-def test_xz_is_rejected(spark, tmp_path):
-    (tmp_path / "RC_3.xz").write_bytes(b"x")
-    for path in (tmp_path / "RC_3.xz", tmp_path):
-        with pytest.raises(ValueError, match="xz"):
-            dumps.read_dump(spark, str(path), dumps.COMMENT_SCHEMA)
+def xz_file(path, parts):
+    """One .xz stream with a block for each part."""
+    body, records = b"", []
+    for part in parts:
+        stream = lzma.compress(part, lzma.FORMAT_XZ)
+        (block,) = xz.find_blocks(io.BytesIO(stream), len(stream))
+        body += stream[12 : 12 + -(-block.packed // 4) * 4]
+        records.append((block.packed, block.size))
+    path.write_bytes(xz._header(b"\0\4") + body + xz._tail(b"\0\4", records))
+    assert lzma.decompress(path.read_bytes()) == b"".join(parts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"bc", b"\n", b"\n\n", b"xyz" * 40]), max_size=40), st.lists(st.integers(0, 200)), st.integers(1, 3))
+def test_xz_lines_do_not_depend_on_blocks(pieces, cuts, step):
+    text = b"".join(pieces)
+    borders = sorted({0, len(text), *(c for c in cuts if c < len(text))})
+    streams = [lzma.compress(text[a:b]) + b"\0" * (4 * (a % 3)) for a, b in zip(borders, borders[1:])]
+    file = io.BytesIO(b"".join(streams))
+    blocks = xz.find_blocks(file, len(file.getvalue()))
+    got = [x for i in range(0, len(blocks), step) for some in xz.lines_of(file, blocks, i, i + step) for x in some]
+    assert got == (text[:-1] if text.endswith(b"\n") else text).split(b"\n") * bool(text)
+
+
+def test_xz_dump_is_a_task_a_block(spark, tmp_path):
+    lines = [json.dumps({"id": str(i), "body": "é" * i}).encode() + b"\n" for i in range(200)]
+    text = b"".join(lines[:150]) + b"no json\n\n" + b"".join(lines[150:])[:-1]
+    xz_file(tmp_path / "RC_3.xz", [text[i : i + 5000] for i in range(0, len(text), 5000)])
+    got = dumps.read_dump(spark, str(tmp_path / "RC_3.xz"), dumps.COMMENT_SCHEMA)
+    assert got.rdd.getNumPartitions() == -(-len(text) // 5000)
+    assert xz.read_xz_lines(spark, [str(tmp_path)], 20_000).rdd.getNumPartitions() == -(-len(text) // 20_000)
+    assert sorted((r.id, r.body, r.source_file) for r in got.where("id is not null").collect()) == sorted(
+        (str(i), "é" * i, "RC_3.xz") for i in range(200)
+    )
+    assert [r._corrupt_record for r in got.where("id is null").collect()] == ["no json"]
+
+
+def test_folder_of_all_codecs(spark, tmp_path):
+    write_lines(tmp_path / "1.json", [{"id": "a"}])
+    (tmp_path / "2.json.gz").write_bytes(gzip.compress(b'{"id": "b"}\n'))
+    xz_file(tmp_path / "3.xz", [b'{"id": "c"}\n{"i', b'd": "d"}'])
+    got = dumps.read_dump(spark, str(tmp_path), dumps.COMMENT_SCHEMA)
+    assert rows(got.select("id", "source_file"), "id") == [("a", "1.json"), ("b", "2.json.gz"), ("c", "3.xz"), ("d", "3.xz")]
+
+
+@pytest.mark.parametrize("harm", [lambda x: b"x", lambda x: x[:-1], lambda x: x[40:], lambda x: x[:-20] + b"xx" + x[-18:]])
+def test_broken_xz_is_an_error(spark, tmp_path, harm):
+    (tmp_path / "RC_4.xz").write_bytes(harm(lzma.compress(b'{"id": "a"}\n' * 1000)))
+    with pytest.raises(Exception, match="no finished .xz file"):
+        dumps.read_dump(spark, str(tmp_path / "RC_4.xz"), dumps.COMMENT_SCHEMA).count()
+
+
+def test_damaged_xz_block_is_an_error(spark, tmp_path):
+    good = bytearray(lzma.compress(os.urandom(5000)))
+    good[2500] ^= 1
+    (tmp_path / "RC_5.xz").write_bytes(good)
+    with pytest.raises(Exception, match="Corrupt"):
+        dumps.read_dump(spark, str(tmp_path / "RC_5.xz"), dumps.COMMENT_SCHEMA).count()
+
+
+def test_xz_sink_round_trip(spark, tmp_path):
+    path = str(tmp_path / "out")
+    lines = spark.range(1000).selectExpr("concat('line ', id) as value")
+    for _ in range(2):
+        xz.write_xz_lines(lines.repartition(3), path, "overwrite", block_bytes=1000)
+    xz.write_xz_lines(spark.createDataFrame([("more",)], "value string"), path)
+    xz.write_xz_lines(lines.limit(0), path)
+    got = xz.read_xz_lines(spark, [path])
+    assert sorted(r.value for r in got.collect()) == sorted([*(f"line {i}" for i in range(1000)), "more"])
+    assert len(list((tmp_path / "out").glob("*.xz"))) == 4 and got.rdd.getNumPartitions() >= 10
+    assert not [x for x in os.listdir(path) if x.startswith("_temporary")]
+    for file in (tmp_path / "out").glob("*.xz"):
+        assert lzma.decompress(file.read_bytes()).endswith(b"\n")
 
 
 def test_nul_scrub(spark):
@@ -109,7 +183,7 @@ def test_stream_takes_every_dump_once(spark, tmp_path):
     assert run() == [("a", "1.json"), ("c", "2.json")]
 
 
-def test_stream_fails_on_xz_and_keeps_broken_lines(spark, tmp_path):
+def test_stream_reads_xz_and_keeps_broken_lines(spark, tmp_path):
     folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()
     write_lines(folder / "1.json", [{"id": "a", "score": 5}, "no json"])
@@ -119,10 +193,14 @@ def test_stream_fails_on_xz_and_keeps_broken_lines(spark, tmp_path):
 
     run()
     assert rows(spark.read.parquet(out).select("id", "_corrupt_record"), "id") == [(None, "no json"), ("a", None)]
-    (folder / "2.xz").write_bytes(b"x")
+    xz_file(folder / "2.xz", [b'{"id": "b"', b', "score": 1}\n'])
+    run()
+    run()
+    assert rows(spark.read.parquet(out).select("id", "_corrupt_record"), "id") == [(None, "no json"), ("a", None), ("b", None)]
+    (folder / "3.xz").write_bytes(b"x")
     with pytest.raises(Exception, match="xz"):
         run()
-    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_unfinished_artefact_is_made_again(spark, tmp_path):
