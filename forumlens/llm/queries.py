@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlens.llm import decontamination, extraction, fingerprints, hard_negatives, language, language_model, licenses, near_duplicates, packing, quality, repeats, swap_packing
+from forumlens.llm import decontamination, divergence, extraction, fingerprints, hard_negatives, language, language_model, licenses, near_duplicates, packing, quality, repeats, swap_packing
 from forumlens.llm.batches import id_hash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,12 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(sql=divergence.check_sql())
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of each source from the others of its language, and its own terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
 @query
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in few sequences of 1024 tokens."""
