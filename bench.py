@@ -28,7 +28,7 @@ def recall_50(spark, folder):
 
 
 def kmeans_30(spark, folder):
-    labels, _ = C.kmeans_sweep(models.reduced_vectors(spark, folder, 50), "doc_id", "svd", [30], restarts=1)  # one start of ten
+    labels, _ = C.kmeans_sweep(models.reduced_vectors(spark, folder, 50), "doc_id", "svd", [30])  # ten starts
     return labels
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import product as combinations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from forumlens.functions.keys import draw_key
 from forumlens.functions.text import ngrams
 from forumlens.operators import filters, scoring
-from forumlens.operators.decompose import projected_rows
 from forumlens.operators.ranking import rank_by_draw
 from forumlens.operators.vocabulary import fit_vectoriser, vectorise
 from forumlens.session import written
@@ -102,8 +102,8 @@ def grid(classifier: str, max_features=MAX_FEATURES, longest=NGRAMS, **ranges: S
     names = sorted(ranges)
     return [
         Point(classifier, m, n, dict(zip(names, values)))
-        for m, n in product(max_features, longest)
-        for values in product(*[ranges[k] for k in names])
+        for m, n in combinations(max_features, longest)
+        for values in combinations(*[ranges[k] for k in names])
     ]
 
 
@@ -162,6 +162,14 @@ def score_column(df: DataFrame) -> Column:
     return F.get(vector_to_array(name), F.lit(1))
 
 
+def projected_rows(matrix: IndexedRowMatrix, factors: DenseMatrix, key: str, output: str) -> DataFrame:
+    """(key, array) of the rows of `matrix` times a local matrix, all of it in the JVM."""
+    product = matrix.multiply(factors)
+    rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
+    rows = MLUtils.convertVectorColumnsToML(rows, "vector")
+    return rows.select(F.col("index").alias(key), vector_to_array("vector").alias(output))
+
+
 def random_fourier(df: DataFrame, key: str, vector: str, gamma: float, dimensions: int = 256, seed: int = SEED):
     """Features whose inner products approximate the RBF kernel: cos(Wx + b).
 
@@ -251,7 +259,7 @@ def cross_validate(train: DataFrame, points: Sequence[Point], key: str = "doc_id
 
     inherit = inheritable_thread_target(train.sparkSession)
     with ThreadPool(parallelism) as pool:
-        rows = [r for part in pool.map(inherit(evaluate), product(folds, feature_sets)) for r in part]
+        rows = [r for part in pool.map(inherit(evaluate), combinations(folds, feature_sets)) for r in part]
     schema = "classifier STRING, point STRING, fold INT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT"
     return scoring.metrics_from_cells(train.sparkSession.createDataFrame(rows, schema))
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forumlens.functions import text as T
 from forumlens.operators import clusters as C
-from forumlens.operators import decompose, filters, recall, topics, vocabulary
+from forumlens.operators import decompose, filters, lloyd, recall, topics, vocabulary
 from forumlens.plans import terms
 from forumlens.plans.registry import query
 from forumlens.plans.views import CLUSTERS, TF, clusters, r6, seeds, table
 from forumlens.session import written
 
-ROUNDS, SEED = 10, 1
+ROUNDS, SEED = 50, 1
 
 
 # ---- distances to fixed centres --------------------------------------------------
@@ -107,16 +108,52 @@ def reduced_vectors(spark, folder, size=terms.SVD_SIZE):
     return decompose.unit_rows(coordinates, "svd")
 
 
+# The numbers of clusters that are compared.
+ALL_K = [15, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90, 100, 110, 120, 150]
+
+
 @query("M1", "M6")
 def kmeans_labels(spark, folder):
-    """k-means on the reduced documents for two of the 16 k, long form."""
-    labels, _ = C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [15, 30])
+    """k-means on the reduced documents for all 16 k with ten starts each, long form."""
+    labels, _ = C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", ALL_K)
     return labels
 
 
 @query("M3", "M4", "M6")
 def kmeans_sweep_summary(spark, folder):
-    return C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", [15, 30])[1]
+    return C.kmeans_sweep(reduced_vectors(spark, folder), "doc_id", "svd", ALL_K)[1]
+
+
+FIXED_K, FIXED_STEPS = [3, 5, 10], 3
+
+
+def lloyd_sql() -> str:
+    """Labels after some steps of k-means from the vectors of the smallest ids."""
+    ks = f"(SELECT unnest({FIXED_K}) AS k)"
+    parts = [
+        """long AS (SELECT vec_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        ranked AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM embeddings)""",
+        f"s0 AS (SELECT k, c, dim, x AS m FROM ranked JOIN long USING (vec_id), {ks} WHERE c < k)",
+    ]
+    for i in range(FIXED_STEPS + 1):
+        parts.append(f"""d{i} AS (SELECT k, vec_id, c, sum((x - m) * (x - m)) AS d FROM long JOIN s{i} USING (dim) GROUP BY ALL),
+        a{i} AS (SELECT k, vec_id, arg_min(c, d) AS c, min(d) AS d FROM d{i} GROUP BY ALL)""")
+        parts.append(f"""means{i} AS (SELECT k, c, dim, avg(x) AS m FROM a{i} JOIN long USING (vec_id) GROUP BY ALL),
+        s{i + 1} AS (SELECT s.k, s.c, s.dim, coalesce(n.m, s.m) AS m FROM s{i} s LEFT JOIN means{i} n USING (k, c, dim))""")
+    last = f"SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster, round(sqrt(d), 6) AS distance FROM a{FIXED_STEPS}"
+    return f"WITH {', '.join(parts)} {last}"
+
+
+@query("M1", "M6", sql=lloyd_sql())
+def kmeans_steps(spark, folder):
+    """Labels after three steps from fixed centres, all models in the same passes."""
+    e = table(spark, folder, "embeddings", "vec_id", "embedding")
+    e = written(e.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vectors")
+    first = np.array([r.x for r in e.orderBy("vec_id").limit(max(FIXED_K)).collect()])
+    models = [lloyd.Model(k, 0, first[:k].copy()) for k in FIXED_K]
+    lloyd.lloyd(e, "x", models, FIXED_STEPS, tolerance=-1.0)
+    found = lloyd.labels(e, "vec_id", "x", models)
+    return found.select("vec_id", "k", "cluster", r6("weight").alias("distance"))
 
 
 def fitted_topics(spark, folder, k=5, passes=topics.STEPS):

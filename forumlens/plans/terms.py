@@ -157,7 +157,7 @@ def unit_rows(spark, folder):
     )
 
 
-SVD_SIZE = 50  # of the default 500, to fit the time of a check
+SVD_SIZE = decompose.COMPONENTS
 
 
 def document_vectors(spark, folder, max_features=None):
