@@ -32,7 +32,7 @@ BUCKET_ROWS = 2048
 BLOCK_BUCKETS = 16  # to a block at most, the unit of work that anchors are sent to
 CHUNK_ANCHORS = 1024  # sent together
 FOCUS = 4  # coordinates of an anchor that are looked up
-PRUNED = 0.2  # a bucket whose rows are left by more than this share is verified whole
+PRUNED = 0.3  # a bucket whose rows are left by more than this share is verified whole
 MARGIN = 1e-6
 EXACT = 1 << 53  # below it sums of whole numbers are exact in 64-bit floats
 LARGEST = (1 << 63) - 1
@@ -424,14 +424,20 @@ def mine(
     Rows with a null id, label, vector or component, or with a component that
     is not finite, take no part. Rows with the anchor's id are not "other"
     rows; repeated rows are candidates each, and anchors each, so they repeat
-    results. A shorter vector counts as filled up with zeros. Scores times 100
-    beyond 64 bits raise an error. An empty table gives no row. Other columns are
+    results. A shorter vector counts as filled up with zeros. Scores beyond 64
+    bits raise an error. An empty table gives no row. Other columns are
     ignored, so their names cannot clash.
     """
     rows = whole_vectors(df, id_col, vector_col, label_col, scale)
     return mine_whole(rows, is_anchor, positives, negatives, low, high)
 
 
+def floored(hundredths: str) -> str:
+    """SQL of a whole number s times some hundredths, rounded down, in decimals that do not overflow."""
+    product = f"({hundredths} * cast(s as decimal(20, 0)))"
+    return f"(({product} - pmod({product}, 100)) div 100)"
+
+
 def mine_whole(rows: DataFrame, is_anchor, positives: int, negatives: int, low: int, high: int) -> DataFrame:
     """`mine` on (id, label, x) rows of whole numbers."""
     buckets = to_buckets(rows)
@@ -456,8 +462,8 @@ def mine_whole(rows: DataFrame, is_anchor, positives: int, negatives: int, low:
             "label",
             "x",
             "near",
-            F.expr(f"transform(near.positive_score, s -> -((-{low} * s - pmod(-{low} * s, 100)) div 100))").alias("low"),
-            F.expr(f"transform(near.positive_score, s -> ({high} * s - pmod({high} * s, 100)) div 100)").alias("high"),
+            F.expr(f"transform(near.positive_score, s -> -{floored(f'-{low}')})").alias("low"),
+            F.expr(f"transform(near.positive_score, s -> {floored(str(high))})").alias("high"),
         ),
         "held",
     )

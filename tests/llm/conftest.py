@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from llm_tables import DOCS, PASSAGE, SF, odd_rows  # noqa: E402
+from llm_tables import DOCS, PASSAGE, SF, odd_rows, odd_vectors  # noqa: E402
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -32,6 +32,8 @@ def folder(spark, odd, tmp_path_factory):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     odd_pages = spark.createDataFrame([(9_000, None, None), (9_001, "no address", "<p>a"), (9_002, "", "")], pages.schema)
     pages.union(odd_pages).write.parquet(f"{path}/pages.parquet")
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors.union(spark.createDataFrame(odd_vectors(), vectors.schema)).write.parquet(f"{path}/embeddings.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     labels.withColumn("quality", F.when(F.col("doc_id") % 7 > 0, F.col("quality"))).write.parquet(f"{path}/labels.parquet")
     return path
@@ -41,7 +43,7 @@ def folder(spark, odd, tmp_path_factory):
 def none(spark, folder, tmp_path_factory):
     """The same tables without rows."""
     path = str(tmp_path_factory.mktemp("none"))
-    for name in ("documents", "benchmark", "pages", "labels"):
+    for name in ("documents", "benchmark", "pages", "labels", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{path}/{name}.parquet")
     return path
 

@@ -21,3 +21,13 @@ def odd_rows():
     rows.append((9_007, "another text of the same id", "en", "src1"))
     rows.append((None, "a text without an id", "en", None))
     return [(*r, None, "clash", 1, 2, "p") for r in rows]
+
+
+def odd_vectors():
+    """Rows that take no part, zeros, ties and repeats."""
+    one = [0.25, -0.5] * 32
+    return [
+        (90_000, one, 1), (90_001, one, 1), (90_001, one, 1), (90_003, one, 2), (90_004, [x * 0.8 for x in one], 2),
+        (90_005, None, 1), (90_006, one, None), (None, one, 1), (90_008, [None] * 64, 1), (90_009, [float("nan")] * 64, 1),
+        (90_010, [float("inf")] * 64, 2), (90_050, [0.0] * 64, 3), (90_051, [0.0] * 64, 4), (90_100, [], 5), (90_101, [2.0], 5),
+    ]
