@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from forumlens.functions import text as T
 from forumlens.operators import clusters as C
-from forumlens.operators import decompose, filters, lloyd, recall, topics, vocabulary
+from forumlens.operators import decompose, filters, lloyd, passes, recall, topics, vocabulary
 from forumlens.plans import terms
 from forumlens.plans.registry import query
-from forumlens.plans.views import CLUSTERS, TF, clusters, r6, seeds, table
+from forumlens.plans.views import CLUSTERS, SQL_TOKENS, TF, clusters, r6, seeds, table
 from forumlens.session import written
 
 ROUNDS, SEED = 50, 1
@@ -151,7 +151,7 @@ def kmeans_steps(spark, folder):
     e = written(e.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vectors")
     first = np.array([r.x for r in e.orderBy("vec_id").limit(max(FIXED_K)).collect()])
     models = [lloyd.Model(k, 0, first[:k].copy()) for k in FIXED_K]
-    lloyd.lloyd(e, "x", models, FIXED_STEPS, tolerance=-1.0)
+    lloyd.lloyd(passes.held_matrix(e, "x"), models, FIXED_STEPS, tolerance=-1.0)
     found = lloyd.labels(e, "vec_id", "x", models)
     return found.select("vec_id", "k", "cluster", r6("weight").alias("distance"))
 
@@ -203,6 +203,35 @@ def topic_coherence(spark, folder):
     return topics.u_mass(tf.select("doc_id", "term"), "doc_id", top).withColumn("u_mass", r6("u_mass"))
 
 
+@query(
+    "M10",
+    sql=f"""WITH {TF}, per AS (SELECT d.lang, tf.term, sum(tf.tf) AS n FROM tf JOIN documents d ON d.doc_id = tf.doc_id GROUP BY 1, 2),
+    top AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) - 1 AS rank FROM per QUALIFY rank < 8),
+    listed AS (SELECT doc_id, {SQL_TOKENS.format("clean_text")} AS w FROM clean),
+    sized AS (SELECT doc_id, w, len(w) AS n, greatest(len(w) - 110, 0) AS last FROM listed WHERE len(w) > 0),
+    total AS (SELECT sum(last + 1) AS windows FROM sized),
+    places AS (SELECT doc_id, last, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM sized),
+    held AS MATERIALIZED (SELECT DISTINCT doc_id, lang, rank, unnest(range(greatest(pos - 109, 0), least(pos, last) + 1)) AS start
+             FROM places JOIN top USING (term)),
+    share AS MATERIALIZED (SELECT a.lang, a.rank AS a, b.rank AS b, count(*) / max(windows)::DOUBLE AS p
+              FROM held a JOIN held b USING (doc_id, lang, start), total GROUP BY 1, 2, 3),
+    grid AS (SELECT x.lang, x.rank AS a, y.rank AS b, coalesce(s.p, 0) AS p, sa.p AS pa, sb.p AS pb
+             FROM top x JOIN top y ON x.lang = y.lang LEFT JOIN share s ON s.lang = x.lang AND s.a = x.rank AND s.b = y.rank
+             LEFT JOIN share sa ON sa.lang = x.lang AND sa.a = x.rank AND sa.b = x.rank
+             LEFT JOIN share sb ON sb.lang = x.lang AND sb.a = y.rank AND sb.b = y.rank),
+    vectors AS (SELECT lang, a, b, coalesce(ln((p + 1e-12) / (pa * pb)) / -ln(p + 1e-12), 0) AS v FROM grid),
+    context AS (SELECT lang, b, sum(v) AS c FROM vectors GROUP BY ALL),
+    cosines AS (SELECT lang, a, sum(v * c) / sqrt(sum(v * v) * sum(c * c)) AS cos FROM vectors JOIN context USING (lang, b) GROUP BY ALL)
+    SELECT lang AS cluster, round(avg(cos), 6) AS c_v FROM cosines GROUP BY lang""",
+)
+def topic_coherence_cv(spark, folder):
+    """c_v of the same term lists, over sliding windows of 110 words."""
+    docs = terms.clean_documents(spark, folder, "lang")
+    docs = written(docs.select("doc_id", "lang", T.tokens(F.col("clean_text")).alias("words")), "words")
+    per = docs.select("lang", F.explode("words").alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return topics.c_v(docs, "doc_id", "words", top_per_language(per)).withColumn("c_v", r6("c_v"))
+
+
 def top_per_language(per, n=8):
     """The n most frequent words per language; Spark keeps n per task before the shuffle."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "term")

@@ -218,17 +218,18 @@ totals AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
 GRAM_DOCS = f"{LABELLED_DOCS}, gram_docs AS (SELECT doc_id AS id, y, text FROM labelled_docs)"
 GRAMS = f"{GRAM_DOCS}, {GRAM_PARTS}"
 
-# The probability of a table is that of its cells; the observed one's is taken once for each pair of frequencies.
-SQL_PMF = """exp(lgamma(pos + 1.0) - lgamma({x} + 1.0) - lgamma(pos - {x} + 1.0)
-      + lgamma(neg + 1.0) - lgamma(a + b - {x} + 1.0) - lgamma(neg - (a + b - {x}) + 1.0)
-      - lgamma(pos + neg + 1.0) + lgamma(a + b + 1.0) + lgamma(pos + neg - a - b + 1.0))"""
+# Probabilities of all tables with the same number of drawn documents, taken once for each such number.
+SQL_PMF = """exp(lgamma(pos + 1.0) - lgamma(x + 1.0) - lgamma(pos - x + 1.0)
+      + lgamma(neg + 1.0) - lgamma(d - x + 1.0) - lgamma(neg - (d - x) + 1.0)
+      - lgamma(pos + neg + 1.0) + lgamma(d + 1.0) + lgamma(pos + neg - d + 1.0))"""
 
 P_VALUES = f"""{GRAMS.replace("gram_freq AS (", "gram_freq AS MATERIALIZED (")},
-pairs AS MATERIALIZED (SELECT *, {SQL_PMF.format(x="a")} AS seen FROM (
-    SELECT DISTINCT "1_doc_freq" AS a, "0_doc_freq" AS b, pos, neg FROM gram_freq, totals)),
-support AS (SELECT *, unnest(range(greatest(0, a + b - neg), least(pos, a + b) + 1)) AS x FROM pairs),
-p_values AS MATERIALIZED (SELECT a, b, least(1.0, sum(p)) AS p_value FROM (
-    SELECT a, b, seen, {SQL_PMF.format(x="x")} AS p FROM support) WHERE p <= seen * (1 + 1e-7) GROUP BY a, b),
+pairs AS MATERIALIZED (SELECT DISTINCT "1_doc_freq" AS a, "0_doc_freq" AS b FROM gram_freq),
+support AS MATERIALIZED (SELECT d, pos, neg, unnest(range(greatest(0, d - neg), least(pos, d) + 1)) AS x
+    FROM (SELECT DISTINCT a + b AS d FROM pairs), totals),
+pmf AS MATERIALIZED (SELECT d, x, {SQL_PMF} AS p FROM support),
+p_values AS MATERIALIZED (SELECT t.a, t.b, least(1.0, sum(o.p)) AS p_value FROM pairs t
+    JOIN pmf s ON s.d = t.a + t.b AND s.x = t.a JOIN pmf o ON o.d = s.d AND o.p <= s.p * (1 + 1e-7) GROUP BY t.a, t.b),
 tested AS (SELECT g.*, p.p_value FROM gram_freq g JOIN p_values p ON p.a = g."1_doc_freq" AND p.b = g."0_doc_freq"),
 sig AS (SELECT *, CASE WHEN "1_doc_freq" > "0_doc_freq" THEN 1 ELSE 0 END AS predicts FROM tested
         WHERE p_value < 0.01 AND n <= 3 AND "1_doc_freq" <> "0_doc_freq")"""
