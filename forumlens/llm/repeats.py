@@ -59,20 +59,18 @@ def _line(words: Words) -> tuple[str, np.ndarray]:
     return line.tobytes().decode("latin-1") + " ", starts
 
 
-def located(words: Words, chosen: np.ndarray, every: np.ndarray, recurring: np.ndarray, phrase: int) -> np.ndarray:
-    """First words of all occurrences of the recurring phrases in a block, by an automaton of their words."""
+def located(words: Words, every: np.ndarray, compiled: np.ndarray, phrase: int) -> np.ndarray:
+    """First words of all occurrences of some phrases in a block, by an automaton of their words.
+
+    `compiled` are positions at which the phrases stand in the block.
+    """
+    if not len(compiled):
+        return compiled
     line, starts = _line(words)
-    texts = set()
-    known, at = np.unique(every, return_index=True)
-    for key in np.intersect1d(known, recurring, assume_unique=False):
-        i = int(at[np.searchsorted(known, key)])
-        end = starts[i + phrase] if i + phrase < len(starts) else len(line)
-        texts.add(line[starts[i] - 1 : end])
-    if not texts:
-        return np.zeros(0, np.int64)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for text in texts:
-        automaton.add_word(text)
+    for i in compiled:
+        end = starts[i + phrase] if i + phrase < len(starts) else len(line)
+        automaton.add_word(line[starts[i] - 1 : end])
     automaton.make_automaton()
     ends = np.fromiter((end for end, _ in automaton.iter(line)), np.int64)
     first = np.searchsorted(starts, ends, side="left") - phrase  # the hit ends with the space after its last word
@@ -80,15 +78,41 @@ def located(words: Words, chosen: np.ndarray, every: np.ndarray, recurring: np.n
     return first[inside]
 
 
+def spans(words: Words, confirmed: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the repeated windows of a block, from where an automaton locates their phrases.
+
+    A confirmed passage, a window's words, is compiled by its phrase and the
+    phrase's place in the window; so each place where the phrase is located
+    gives the spans that may be the passage, and the window's key confirms them.
+    """
+    at, chosen, every = phrases(words, window, phrase)
+    if not len(at):
+        return at
+    _, keys = words.grams(window)  # in the order of `at`
+    _, some = np.unique(keys, return_index=True)
+    some = some[among(keys[some], confirmed)]
+    width = window - phrase + 1
+    offset = np.zeros(len(some), np.int64)
+    for k in range(0, len(some), 4096):  # where each distinct passage has its phrase
+        part = some[k : k + 4096]
+        offset[k : k + 4096] = (every[at[part][:, None] + np.arange(width)] == chosen[part][:, None]).argmax(axis=1)
+    _, first = np.unique(chosen[some], return_index=True)
+    hits = located(words, every, (at[some] + offset)[first], phrase)
+    pairs = np.unique(np.stack([chosen[some], offset.astype(U64)], axis=1), axis=0)
+    low, high = (np.searchsorted(pairs[:, 0], every[hits], side) for side in ("left", "right"))
+    begins = np.repeat(hits, high - low) - pairs[ragged(low, high - low), 1].astype(np.int64)
+    place = np.minimum(np.searchsorted(at, begins), len(at) - 1)
+    real = (at[place] == begins) & among(keys[place], confirmed)
+    return np.unique(begins[real])
+
+
 def _windows_of(block: int, words: Words, recurring: np.ndarray, parts: int, window: int, phrase: int):
     """Ask for every window whose phrase recurs."""
-    at, chosen, every = phrases(words, window, phrase)
-    hits = located(words, chosen, every, recurring, phrase)
-    if len(hits) and len(at):
-        some = at[among(chosen, np.unique(every[hits]))]
+    at, chosen, _ = phrases(words, window, phrase)
+    some = among(chosen, recurring)
+    if some.any():
         _, keys = words.grams(window)  # in the order of `at`
-        keys = keys[np.searchsorted(at, some)]
-        keys, times = np.unique(keys, return_counts=True)
+        keys, times = np.unique(keys[some], return_counts=True)
         yield asked(block, keys, times > 1, parts)
 
 
@@ -116,12 +140,12 @@ def remove_repeats(
     repetition is judged on the input. Three steps over blocks of documents:
 
     1. Each window names one phrase inside it, chosen by content. Phrases that
-       recur in the corpus are confirmed by exchanging their keys.
-    2. Each block compiles the recurring phrases it holds into an Aho-Corasick
-       automaton (the shard of the automaton that this block can meet) and
-       streams its documents through it. Windows whose phrase was located are
-       confirmed in the same way by their own keys.
-    3. Words covered by a repeated window are left out.
+       recur in the corpus are found by exchanging their keys.
+    2. Windows with such a phrase are confirmed as recurring passages in the
+       same way, by their own keys.
+    3. Each block compiles the confirmed passages that it can meet (its shard)
+       into an Aho-Corasick automaton of their phrases and streams its
+       documents through it. The spans located there are cut (`spans`).
 
     Keys have 64 bits, so a window is taken for another with a chance of about
     2**-64 for each pair of candidate windows. All shuffles carry packed keys and
@@ -148,8 +172,7 @@ def remove_repeats(
 
     def cut(block: int, rows: pa.RecordBatch, keys: np.ndarray):
         words = split_words(rows.column(text_col))
-        at, found = words.grams(window)
-        at = at[among(found, keys)]
+        at = spans(words, keys, window, phrase)
         change = np.zeros(len(words.keys) + 1, np.int32)
         np.add.at(change, at, 1)
         np.add.at(change, at + window, -1)
