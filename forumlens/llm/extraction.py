@@ -29,6 +29,10 @@ BESIDE_WORDS = frozenset(
     "promo promoted promotion recommended register related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 )
+# Of these, the words for readers' comments.
+READER_WORDS = frozenset("comment comments disqus replies reply respond".split())
+# Words of names that tell of a part rather than name it, as in no-comments.
+WRAPPER_WORDS = frozenset("content free has layout no non page with without wrap wrapper".split())
 # Elements that hold the text of a page; their own names say nothing against them.
 HOLDERS = frozenset("html body main article".split())
 MAIN_WORDS = frozenset("main".split())
@@ -45,32 +49,70 @@ def text_key(text: str) -> str:
 
 
 def _beside(node: Node, inside: bool) -> bool:
-    """The node is no part of an article. `inside`: an element that holds one is around it."""
-    if node.hidden or node.label in BESIDE:
-        return True
-    if node.label == "header":
-        return not inside
+    """The element is of a kind that is no part of an article. `inside`: an element that holds one is around it."""
+    return node.hidden or node.label in BESIDE or node.label == "header" and not inside
+
+
+def _named_beside(node: Node, inside: bool) -> bool:
+    """The element's names speak against it."""
     return node.label not in HOLDERS and any(
         w in BESIDE_WORDS and not (inside and w == "header") for w in node.names
     )
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """Runs of text in page order that may be content, each with what holds it: `main`, `article` or nothing."""
-    out, todo = [], [(root, "")]
+class Block:
+    """A run of text with what holds it (`main`, `article` or nothing) and the elements around it whose names speak against it."""
+
+    def __init__(self, node: Node, held: str, named: tuple[Node, ...]):
+        self.node, self.held, self.named = node, held, named
+
+
+def blocks(root: Node) -> tuple[list[Block], set[int]]:
+    """Runs of text in page order that may be content, and the named elements (by `id`) that hold a `main` or `article`."""
+    out, holding = [], set()
+    todo: list[tuple[Node, str, tuple[Node, ...]]] = [(root, "", ())]
     while todo:
-        node, held = todo.pop()
+        node, held, named = todo.pop()
         if node.label == TEXT:
-            out.append((node, held))
+            out.append(Block(node, held, named))
             continue
         if _beside(node, bool(held)):
             continue
-        if node.label == "main" or MAIN_WORDS & set(node.names) and node.label != "body":
+        if _named_beside(node, bool(held)):
+            named = (*named, node)
+        elif node.label == "main" or MAIN_WORDS & set(node.names) and node.label != "body":
             held = held or "main"
+            holding |= {id(n) for n in named}
         if node.label == "article":
             held = "article"
-        todo += [(c, held) for c in reversed(node.children)]
-    return out
+            holding |= {id(n) for n in named}
+        todo += [(c, held, named) for c in reversed(node.children)]
+    return out, holding
+
+
+def not_beside(found: list[Block], holding: set[int]) -> list[Block]:
+    """The blocks that no name speaks against.
+
+    Names are a weak sign: an element around an article or main element is no
+    part beside it, whatever it is called. On a page without such an element,
+    one that holds most of the text that varies counts as its article; readers'
+    comments, however long, are left out of this.
+    """
+    size: Counter = Counter()
+    total = 0
+    for b in found:
+        if not any(READER_WORDS & set(n.names) and not WRAPPER_WORDS & set(n.names) and id(n) not in holding for n in b.named):
+            total += len(b.node.text)
+            for n in b.named:
+                size[id(n)] += len(b.node.text)
+    some_holder = holding or any(b.held for b in found)
+
+    def against(n: Node) -> bool:
+        if id(n) in holding:
+            return False
+        return bool(some_holder) or 2 * size[id(n)] <= total
+
+    return [b for b in found if not any(against(n) for n in b.named)]
 
 
 def layout(page: Column) -> Column:
@@ -81,18 +123,20 @@ def layout(page: Column) -> Column:
 def main_text(page: str, references: list[Node]) -> str:
     """Text blocks of the page that vary between pages of its host; names and elements decide between these."""
     root = parse(page)
-    found = blocks(root)
+    found, holding = blocks(root)
     sames = [
         {id(x) for x, y in match(root, other) if x.label == TEXT and text_key(x.text) == y.text} for other in references
     ]
     common = {k for k, n in Counter(k for same in sames for k in same).items() if n >= max(2, CONSTANT * len(sames))}
-    own = [(id(n), len(n.text)) for n, _ in found if id(n) not in common]
-    total = sum(size for _, size in own)
     # a near copy of this page (beside what the pages of the host share) shows nothing about the host's template
+    varying = [b for b in found if id(b.node) not in common]
+    own = [(id(b.node), len(b.node.text)) for b in not_beside(varying, holding)]
+    total = sum(size for _, size in own)
     sames = [same for same in sames if 2 * sum(size for k, size in own if k in same) <= total]
     seen, compared = Counter(k for same in sames for k in same), len(sames)
     if compared > 1:
-        found = [(n, h) for n, h in found if seen[id(n)] < CONSTANT * compared or h and compared < MANY]
+        found = [b for b in found if seen[id(b.node)] < CONSTANT * compared or b.held and compared < MANY]
+    found = [(b.node, b.held) for b in not_beside(found, holding)]
     for holder in ("article", "main"):
         inside = [n for n, h in found if h == holder]
         if inside:
@@ -196,8 +240,9 @@ def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_"
     copies of the page. Text that is the same in nearly all of them is template, inside an
     `article` or `main` element too if at least `MANY` were compared. Slots that
     vary are content, unless they stand in elements beside the article (menus,
-    headers, footers, sidebars, notices, adverts, forms, comments; by tag, class,
-    id or role). Where text varies inside an `article` or `main` element and
+    headers, footers, sidebars, notices, adverts, forms, comments): elements of
+    such a kind, or named so and not around the article (`not_beside`; names
+    decide after the comparison only). Where text varies inside an `article` or `main` element and
     outside, the text inside counts, unless it is the smaller part.
 
     Character references are decoded, white space in a block is one space, and

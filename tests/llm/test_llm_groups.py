@@ -13,8 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forumlens.llm import divergence, hard_negatives, swap_packing
+from forumlens.llm import divergence, extraction, hard_negatives, repeats, swap_packing
+from forumlens.llm.batches import split_words
 from forumlens.llm.byte_tokens import byte_encoder
+from forumlens.llm.dom import from_skeleton, parse, skeleton
 from forumlens.llm.queries import QUERIES, tokenizer_path
 
 # ---- source divergence
@@ -270,3 +272,57 @@ def test_scores_beyond_64_bits_are_an_error(spark):
     df = spark.createDataFrame([(i, [1e9] * 40, i % 2) for i in range(51)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(Exception, match="64 bits|OVERFLOW"):
         hard_negatives.mine(df, "vec_id", "embedding", "label", F.col("id") % 50 == 0).count()
+
+
+# ---- what decides in the operators for repeats and pages
+
+
+def test_spans_come_from_the_automaton(monkeypatch):
+    """Every repeated window is located, and with an automaton that finds nothing nothing is cut."""
+    draw = np.random.default_rng(3)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(3)] + ["same " * 50]
+    texts = [" ".join([*(f"w{x}" for x in draw.integers(0, 10**6, 30)), str(draw.choice(passages)), "end"]) for _ in range(40)]
+    words = split_words(pa.array(texts))
+    at, keys = words.grams(35)
+    known, times = np.unique(keys, return_counts=True)
+    confirmed = known[times > 1]
+    assert len(confirmed) and np.array_equal(repeats.spans(words, confirmed, 35, 6), at[np.isin(keys, confirmed)])
+    assert not len(repeats.spans(words, known[:0], 35, 6))
+
+    class Nothing:
+        def __init__(self, *_):
+            pass
+
+        def add_word(self, _):
+            pass
+
+        make_automaton = lambda self: None
+        iter = lambda self, _: iter(())
+
+    monkeypatch.setattr(repeats.ahocorasick, "Automaton", Nothing)
+    assert not len(repeats.spans(words, confirmed, 35, 6))
+
+
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+@pytest.mark.parametrize(
+    "name",
+    ["content", "content with-sidebar", "has-header wrap", "related-content", "layout_no-comments", "social-science", "row tags-on", "adVert-free", "register", "content withSidebar"],
+)
+def test_names_do_not_hide_an_article(name, inner):
+    draw = np.random.default_rng(7)
+
+    def some(n):
+        return " ".join(f"w{x}" for x in draw.integers(0, 10**6, n))
+
+    pages, texts = [], []
+    for _ in range(8):
+        texts.append(f"{some(4)} {some(90)} {some(60)}")
+        head, first, last = re.match("(.*?w.*?w.*?w.*?w\\d+) ((?:w\\d+ ?){90}) ?(.*)", texts[-1]).groups()
+        body = inner.format(f"<h1>{head}</h1><p>{first.strip()}</p><p>{last}</p>")
+        pages.append(
+            f"<body><nav>Home</nav><div class='sidebar'><p>Popular {some(5)}</p></div><div class='{name}'>{body}"
+            f"<div class='share-buttons'>Share {some(2)}</div></div><div class='user-comments'><p>{some(400)}</p></div><footer>End</footer>"
+        )
+    trees = [from_skeleton(skeleton(parse(p), extraction.text_key)) for p in pages]
+    for i, page in enumerate(pages):
+        assert extraction.main_text(page, [t for j, t in enumerate(trees) if j != i]) == texts[i]
