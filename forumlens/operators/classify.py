@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product as combinations
 from multiprocessing.pool import ThreadPool
 
@@ -20,12 +21,12 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.functions.keys import draw_key
 from forumlens.functions.text import ngrams
-from forumlens.operators import filters, scoring
+from forumlens.operators import columns, filters, scoring
 from forumlens.operators.ranking import rank_by_draw
 from forumlens.operators.vocabulary import fit_vectoriser, vectorise
 from forumlens.session import written
@@ -108,12 +109,12 @@ def grid(classifier: str, max_features=MAX_FEATURES, longest=NGRAMS, **ranges: S
 
 
 def full_grid(classifier: str | None = None) -> list[Point]:
-    """The experiments' grid; Spark has no choice of solver and hinge loss only."""
+    """The experiments' grid, but for the choice of solver: an optimum does not depend on it."""
     c = (1.0, 10.0, 100.0)
     grids = {
         "NB": grid("NB"),
         "LR": grid("LR", C=c, penalty=("l1", "l2")),
-        "SVM_linear": grid("SVM_linear", C=c),
+        "SVM_linear": grid("SVM_linear", C=c, loss=("hinge", "squared_hinge")),
         "SVM_rbf": grid("SVM_rbf", C=c, gamma=("scale", "auto")),
         "RF": grid("RF", trees=tuple(range(1500, 2010, 100)), criterion=("entropy", "gini")),
     }
@@ -264,6 +265,128 @@ def cross_validate(train: DataFrame, points: Sequence[Point], key: str = "doc_id
     return scoring.metrics_from_cells(train.sparkSession.createDataFrame(rows, schema))
 
 
+def in_columns(point: Point) -> bool:
+    """Points that `grid_cells` fits: naive Bayes, logistic regression and the SVM with squared hinge."""
+    return point.classifier in ("NB", "LR") or (point.classifier == "SVM_linear" and point.settings.get("loss") == "squared_hinge")
+
+
+def counted_terms(rows: DataFrame, longest: int):
+    """Rows with count vectors over all terms of two documents or more, and these terms."""
+    terms = rows.withColumn("terms", ngrams(F.col("words"), longest)).drop("words")
+    counter = fit_vectoriser(terms, "terms", min_df=2).stages[0]
+    return counter.transform(terms).drop("terms"), np.array(counter.vocabulary, dtype=object)
+
+
+def column_of(point: Point, view: int, fold: int) -> columns.Column:
+    loss = "log" if point.classifier == "LR" else "squared_hinge"
+    settings = point.settings
+    return columns.Column(view, fold, loss, settings.get("C", 1.0), settings.get("penalty") == "l1")
+
+
+def grid_cells(rows: DataFrame, folds: int, points: Sequence[Point], key: str = "doc_id") -> list[tuple]:
+    """(point, fold, tn, fp, fn, tp) of every point on every fold, fitted side by side (`operators.columns`).
+
+    `rows` have a key, `y`, `words`, and bit masks `train` and `test` of the
+    folds that a row trains and tests; folds may overlap in any way. Each fold
+    has its own vocabulary and TF-IDF. Terms are counted once for each length
+    of n-grams; all points and folds of a feature limit share every pass, as
+    many at a time as the driver's bound on weights allows.
+    """
+    found = []
+    for longest in sorted({p.longest for p in points}):
+        counted, names = counted_terms(rows, longest)
+        held, width = columns.held_counts(counted, key, "counts")
+        docs, total, size = columns.frequencies(held, width, folds)
+        for limit in sorted({p.max_features for p in points if p.longest == longest}, key=lambda m: m or np.inf):
+            own = [p for p in points if p.longest == longest and p.max_features == limit]
+            views = [columns.view_weights(docs[:, f], total[:, f], size[f], names, limit) for f in range(folds)]
+            scale = np.stack(views, axis=1)
+            kept = np.flatnonzero(scale.any(axis=1))
+            some = columns.restricted(held, kept, width)
+            problem = columns.Problem(some, scale[kept], folds)
+            fits = [(p, column_of(p, f, f)) for p in own if p.classifier != "NB" for f in range(folds)]
+            for part in columns.chunks([c for _, c in fits], len(kept)):
+                columns.minimise(problem, part)
+            bayes = [p for p in own if p.classifier == "NB"]
+            for p in bayes:
+                fits += [(p, c) for c in columns.complement_bayes(problem, range(folds), range(folds))]
+            found += [(p, c.fold, *n) for (p, c), n in zip(fits, columns.cells(problem, [c for _, c in fits]).tolist())]
+            problem.close()
+            some.unpersist()
+        held.unpersist()
+    return found
+
+
+def grid_search(train: DataFrame, points: Sequence[Point], key: str = "doc_id") -> DataFrame:
+    """`cross_validate` of points that share passes: metrics of every point and fold of the column `fold`."""
+    folds = train.agg(F.max("fold")).first()[0] + 1
+    test = F.expr("shiftleft(1L, fold)")
+    rows = train.select(key, "y", "words", (F.lit((1 << folds) - 1) - test).alias("train"), test.alias("test"))
+    found = [(p.classifier, p.name, f, *n) for p, f, *n in grid_cells(rows, folds, points, key)]
+    schema = "classifier STRING, point STRING, fold INT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT"
+    return scoring.metrics_from_cells(train.sparkSession.createDataFrame(found, schema))
+
+
+def nested_grid_search(train: DataFrame, points: Sequence[Point], key: str = "doc_id", folds: int = FOLDS, refit: str = "precision"):
+    """Metrics of every outer fold, tuned by a grid search on the other folds, for each classifier.
+
+    All inner and outer fits share their passes: an outer fold has `folds`
+    inner ones and a last one that trains on all of them and tests the outer.
+    """
+    keys = written(with_folds(train.select(key, "y"), key, folds=folds, seed=SEED).withColumnRenamed("fold", "outer_fold"))
+    marked = keys
+    for o in range(folds):
+        inner = with_folds(keys.where(F.col("outer_fold") != o), key, folds=folds, seed=SEED + 1)
+        marked = marked.join(inner.select(key, F.col("fold").alias(f"inner_{o}")), key, "left")
+    bits = {"train": [], "test": []}
+    for o in range(folds):
+        inside = F.col("outer_fold") != o
+        for i in range(folds):
+            tests = F.col(f"inner_{o}") == i
+            bits["train"].append(inside & ~tests)
+            bits["test"].append(inside & tests)
+        bits["train"].append(inside)
+        bits["test"].append(~inside)
+
+    def mask(conditions):
+        parts = [F.when(c, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b, c in enumerate(conditions)]
+        return reduce(lambda a, b: a + b, parts)
+
+    rows = marked.select(key, mask(bits["train"]).alias("train"), mask(bits["test"]).alias("test"))
+    rows = written(train.select(key, "y", "words").join(rows, key), "masked")
+    found = [
+        (p.classifier, p.name, f // (folds + 1), f % (folds + 1), *n)
+        for p, f, *n in grid_cells(rows, folds * (folds + 1), points, key)
+    ]
+    schema = "classifier STRING, point STRING, fold INT, inner INT, tn BIGINT, fp BIGINT, fn BIGINT, tp BIGINT"
+    table = written(train.sparkSession.createDataFrame(found, schema), "cells")
+    scored = scoring.metrics_from_cells(table)
+    means = scored.where(F.col("inner") < folds).groupBy("classifier", "fold", "point").agg(F.avg(refit).alias("mean"))
+    order = Window.partitionBy("classifier", "fold").orderBy(F.desc("mean"), "point")
+    best = means.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("classifier", "fold", "point")
+    return scored.where(F.col("inner") == folds).drop("inner").join(best, ["classifier", "fold", "point"])
+
+
+def squared_hinge(train: DataFrame, held: DataFrame, max_features: int | None, longest: int, c: float, key: str = "doc_id") -> DataFrame:
+    """The hold-out rows scored by a linear SVM with squared hinge loss, its features fitted on `train` only."""
+    both = train.withColumn("train", F.lit(1)).withColumn("test", F.lit(0))
+    both = both.unionByName(held.withColumn("train", F.lit(0)).withColumn("test", F.lit(1)))
+    counted, names = counted_terms(both.select(key, "y", "words", "train", "test"), longest)
+    rows, width = columns.held_counts(counted, key, "counts")
+    docs, total, size = columns.frequencies(rows, width, 1)
+    problem = columns.Problem(rows, columns.view_weights(docs[:, 0], total[:, 0], size[0], names, max_features)[:, None], 1)
+    fitted = columns.Column(0, 0, "squared_hinge", c)
+    columns.minimise(problem, [fitted])
+    found = columns.scores(problem, fitted)
+    return found.select(
+        F.col("key").alias(key),
+        F.lit("SVM_linear").alias("classifier"),
+        "y",
+        (F.col("score") > 0).cast("int").alias("yhat"),
+        "score",
+    )
+
+
 def grid_results(fold_metrics: DataFrame) -> DataFrame:
     """Mean, spread and rank of every metric over the folds, per grid point."""
     long = fold_metrics.unpivot(["classifier", "point", "fold"], scoring.METRICS, "metric", "value")

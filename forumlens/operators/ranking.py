@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlens.functions.keys import draw_key
+from forumlens.session import written
 
 DRAW_DIGITS = 3  # 16**3 buckets per group
-RANGE_BUCKETS = 256
 
 
 def rank_by_draw(df: DataFrame, groups: Sequence[str], key: str, seed: int | Column, rank: str = "rank") -> DataFrame:
@@ -94,47 +94,31 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "__best.*").select(*df.columns)
 
 
-def range_cuts(df: DataFrame, column: str, groups: Sequence[str] = (), buckets: int = RANGE_BUCKETS) -> list[tuple]:
-    """Approximate quantiles of `column` per group, collected: `buckets`
-    numbers per group. Only their order matters to the results, so an
-    approximation is as good as exact ones."""
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(F.col(column), points, 10_000).alias("cuts")
-    rows = df.groupBy(*groups).agg(cuts).collect()
-    return [tuple(r) for r in rows]
+def ranged(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows, written once with `__bucket`: buckets of about the same size in the order of the columns.
 
-
-def _range_bucket(column: str, groups: Sequence[str], cuts: list[tuple]) -> Column:
-    """Number of cuts below the value; a larger value never gets a smaller bucket."""
-    bucket = F.lit(0)
-    for *names, points in cuts:
-        inside = F.lit(True)
-        for group, name in zip(groups, names):
-            inside = inside & F.col(group).eqNullSafe(F.lit(name))
-        points = sorted(set(points or []))
-        if points:
-            literal = F.array(*[F.lit(p) for p in points])
-            bucket = F.when(inside, F.size(F.filter(literal, lambda p: p < F.col(column)))).otherwise(bucket)
-    return bucket
+    Buckets are the partitions of a range partitioning, so there are as many
+    as the session has shuffle partitions for the data, and rows with equal
+    values share one.
+    """
+    dealt = df.repartitionByRange(*columns)
+    return written(dealt.withColumn("__bucket", F.spark_partition_id()), "ranged")
 
 
 def row_index(df: DataFrame, key: str, label: str = "row_index") -> DataFrame:
-    """0-based row number in the order of a unique numeric column."""
-    cuts = range_cuts(df, key)
-    ranged = df.withColumn("__bucket", _range_bucket(key, [], cuts))
-    return _rank_in_buckets(ranged, [], [F.col(key)], label).withColumn(label, F.col(label) - 1)
+    """0-based row number in the order of a unique column."""
+    return _rank_in_buckets(ranged(df, key), [], [F.col(key)], label).withColumn(label, F.col(label) - 1)
 
 
 def running_totals(
     df: DataFrame, groups: Sequence[str], column: str, sums: dict[str, str], descending: bool = True
 ) -> DataFrame:
-    """Add running sums to a table with one row per (groups, value of a numeric
-    column), in the order of that column. `sums` maps new names to columns.
+    """Add running sums to a table with one row per (groups, value of a column),
+    in the order of that column. `sums` maps new names to columns.
 
     Groups are few (classifiers, classes); their rows are not.
     """
-    cuts = range_cuts(df, column, groups)
-    step = df.withColumn("__bucket", _range_bucket(column, groups, cuts))
+    step = ranged(df, *groups, column)
     cells = [*groups, "__bucket"]
     order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     before = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -331,12 +331,12 @@ def naive_bayes(spark, folder):
 
 @query("K8", "K22")
 def logistic_regression(spark, folder):
-    return scored_hold_out(spark, folder, classify.Point("LR", LIMIT, 1, {"C": 10.0, "penalty": "l2"}))[1]
+    return scored_hold_out(spark, folder, classify.Point("LR", None, 1, {"C": 10.0, "penalty": "l2"}))[1]
 
 
 @query("K9", "K22")
 def linear_svm(spark, folder):
-    return scored_hold_out(spark, folder, classify.Point("SVM_linear", LIMIT, 1, {"C": 1.0}))[1]
+    return scored_hold_out(spark, folder, classify.Point("SVM_linear", None, 1, {"C": 1.0}))[1]
 
 
 @query("K10", "K22")
@@ -352,22 +352,41 @@ def random_forest(spark, folder):
 @query("W6")
 def top_weighted_features(spark, folder):
     train, held = prepared(spark, folder)
-    fitted, test, model = classify.featurise(train, held, LIMIT, 1)
-    svm, _ = classify.fit_point(classify.Point("SVM_linear", LIMIT, 1), written(fitted), test)
+    fitted, test, model = classify.featurise(train, held, None, 1)
+    svm, _ = classify.fit_point(classify.Point("SVM_linear", None, 1), written(fitted), test)
     rows = classify.top_weighted_features(svm, model.stages[0].vocabulary)
     return spark.createDataFrame(rows, "term STRING, weight DOUBLE")
 
 
-@query("K5")
+C_VALUES = (1.0, 10.0, 100.0)
+
+
+@query("K9", "K22")
+def squared_hinge_svm(spark, folder):
+    """The linear SVM with squared hinge loss on all terms."""
+    train, held = prepared(spark, folder)
+    return classify.squared_hinge(train, held, None, 1, 1.0)
+
+
+def shared_points(max_features, losses=True):
+    """Naive Bayes, logistic regression and squared hinge points of the experiments' grid, on single words."""
+    points = classify.grid("NB", max_features, (1,))
+    points += classify.grid("LR", max_features, (1,), C=C_VALUES, penalty=("l1", "l2"))
+    if losses:
+        points += classify.grid("SVM_linear", max_features, (1,), C=C_VALUES, loss=("squared_hinge",))
+    return points
+
+
+@query("K5", "K7", "K8", "K9")
 def grid_search(spark, folder):
-    """Mean, spread and rank of every metric over 5 folds for a part of the grid, all terms among it."""
+    """Mean, spread and rank of every metric over 5 folds for all feature limits, all terms among them."""
     train, _ = prepared(spark, folder)
-    points = classify.grid("NB", (LIMIT, None), (1,)) + classify.grid("LR", (LIMIT,), (1,), C=(1.0,), penalty=("l2",))
     folded = written(classify.with_folds(train))
-    return classify.grid_results(classify.cross_validate(folded, points))
+    return classify.grid_results(classify.grid_search(folded, shared_points(classify.MAX_FEATURES)))
 
 
 @query("K6")
 def nested_grid_search(spark, folder):
+    """5 x 5 nested folds over the naive Bayes and logistic regression points of two feature limits."""
     train, _ = prepared(spark, folder)
-    return classify.nested_cross_validate(train, classify.grid("NB", (500, LIMIT), (1,)), folds=2)
+    return classify.nested_grid_search(train, shared_points((1000, 5000), losses=False))

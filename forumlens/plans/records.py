@@ -335,12 +335,13 @@ def inner_join_renamed_keys(spark, folder):
 
 @query(
     "J5",
-    sql="""WITH a AS (SELECT doc_id, n_chars FROM documents WHERE lang <> 'en'), b AS (SELECT doc_id, toxic FROM labels)
-    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_chars, b.toxic FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
+    sql="""WITH b AS (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)
+    SELECT coalesce(a.doc_id, b.o_custkey) AS doc_id, a.n_chars, b.n_orders FROM documents a FULL JOIN b ON a.doc_id = b.o_custkey""",
 )
 def full_outer_join(spark, folder):
-    a = table(spark, folder, "documents", "doc_id", "n_chars", "lang").where(F.col("lang") != "en").drop("lang")
-    return a.join(table(spark, folder, "labels", "doc_id", "toxic"), "doc_id", "full")
+    """Keys of either side only are among both tables."""
+    orders = table(spark, folder, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count("*").alias("n_orders"))
+    return table(spark, folder, "documents", "doc_id", "n_chars").join(orders, "doc_id", "full")
 
 
 @query(

@@ -440,13 +440,13 @@ def exclusion_summary(spark, folder):
     "C1",
     sql=f"""WITH {COMMUNITIES}, links AS (SELECT DISTINCT link || '/' AS link FROM (SELECT unnest(regexp_extract_all(
       substr('see **Other** /r/' || upper(source) || '_' || upper(lang) || ' ', 5), '/[r]/[a-zA-Z0-9_]*')) AS link
-      FROM documents WHERE n_chars > 5000))
+      FROM documents))
     SELECT display_name, url FROM communities WHERE lower(url) IN (SELECT lower(link) FROM links) AND display_name <> 'src3_en'
     UNION ALL SELECT display_name, url FROM communities WHERE display_name = 'src7_de' ORDER BY display_name, url""",
 )
 def seed_set(spark, folder):
-    """Communities linked from about-texts, made here from the long documents."""
-    d = table(spark, folder, "documents", "source", "lang", "n_chars").where(F.col("n_chars") > 5000)
+    """Communities linked from about-texts, made here from all documents."""
+    d = table(spark, folder, "documents", "source", "lang")
     about = F.concat(F.lit("see **Other** /r/"), F.upper("source"), F.lit("_"), F.upper("lang"), F.lit(" "))
     links = corpus.seed_links(d.select(about.alias("description")), F.col("description"), "**Other**")
     return corpus.seed_set(communities(spark, folder), links, excluded=["src3_en"], own="src7_de")
