@@ -19,6 +19,7 @@ from forumlens.session import new_path
 END = int(mix(np.array([0xE0D], U64))[0])  # key of the token that ends every text
 CHARS_A_PART = 8 << 20  # parts follow the text, so that a part's size does not grow with the corpus
 HELD = 4_000_000  # counts a task gathers before it puts equal keys together
+MARK = "mounted"  # a file that every machine has to see
 FULL = 255  # counts from here on are kept beside the one-byte array
 COUNTED = "part long, kind int, ones binary, keys binary, counts binary"
 
@@ -121,6 +122,7 @@ class Model:
     folder: str
     parts: int  # a power of two; the first bits of a key are its part
     offsets: list[int] = field(default_factory=list)  # number of the first word of each part
+    sizes: list[int] = field(default_factory=list)  # words of each part
     words: int = 0
     tokens: int = 0
     texts: int = 0
@@ -147,6 +149,8 @@ class Reader:
     """A worker's view of the arrays: files are mapped, not read."""
 
     def __init__(self, model: Model):
+        if not os.path.exists(f"{model.folder}/{MARK}"):
+            raise FileNotFoundError(f"the model's folder {model.folder} is not there; spark.checkpoint.dir has to be mounted on every machine")
         self.model, self.maps = model, {}
 
     def _array(self, name: str, kind) -> np.ndarray:
@@ -160,6 +164,8 @@ class Reader:
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         for a, b in zip(at.tolist(), np.append(at[1:], len(part)).tolist()):
             there = self._array(f"{table}-{part[a]}.keys", U64)
+            if table == "words" and len(there) != self.model.sizes[part[a]]:
+                raise FileNotFoundError(f"part {part[a]} of the words in {self.model.folder} is not complete")
             if len(there):
                 place = np.minimum(np.searchsorted(there, keys[a:b]), len(there) - 1)
                 yield int(part[a]), slice(a, b), there[place] == keys[a:b], place
@@ -249,6 +255,7 @@ def fit(docs: DataFrame, text_col: str) -> Model:
     parts = 1 << max(0, int((chars[0] or 0) // CHARS_A_PART).bit_length())
     folder = _local(new_path(docs.sparkSession, "language-model"))
     os.makedirs(folder, exist_ok=True)
+    _put(f"{folder}/{MARK}", np.ones(1))
     model = Model(folder, parts, texts=chars[1])
 
     def word_keys(words: Words):
@@ -264,7 +271,8 @@ def fit(docs: DataFrame, text_col: str) -> Model:
     made = _mapped(docs, text_col, word_keys).groupBy("part").applyInArrow(keep_words, "part long, words long, tokens long").collect()
     sizes = {r.part: r.words for r in made}
     model.words, model.tokens = sum(sizes.values()), sum(r.tokens for r in made)
-    model.offsets = np.cumsum([0, *(sizes.get(p, 0) for p in range(parts - 1))]).tolist()
+    model.sizes = [sizes.get(p, 0) for p in range(parts)]
+    model.offsets = np.cumsum([0, *model.sizes[:-1]]).tolist()
     model.span = (model.words + 1) // parts + 1
     if not model.words:
         return model

@@ -326,3 +326,22 @@ def test_names_do_not_hide_an_article(name, inner):
     trees = [from_skeleton(skeleton(parse(p), extraction.text_key)) for p in pages]
     for i, page in enumerate(pages):
         assert extraction.main_text(page, [t for j, t in enumerate(trees) if j != i]) == texts[i]
+
+
+def test_scoring_without_the_model_s_files_is_an_error(spark, tmp_path):
+    import os
+
+    from forumlens.llm import language_model
+
+    df = spark.createDataFrame([(i, f"some words of text {i} again and again") for i in range(20)], "i long, text string")
+    model = language_model.fit(df, "text")
+    assert language_model.score(df, "text", model).where("lm_known > 2").count() == 20
+    away = language_model.Model(**{**model.__dict__, "folder": str(tmp_path / "away")})
+    with pytest.raises(Exception, match="mounted on every machine"):
+        language_model.score(df, "text", away).collect()
+    words = next(f for f in os.listdir(model.folder) if f.startswith("words-") and f.endswith(".keys"))
+    os.remove(f"{model.folder}/{words}")
+    other = language_model.Model(**{**model.__dict__, "texts": 0})
+    language_model._readers.clear()
+    with pytest.raises(Exception, match="not complete"):
+        language_model.score(df.repartition(3), "text", other).collect()
