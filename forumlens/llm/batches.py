@@ -160,6 +160,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse_clash(df: DataFrame, names: list[str]) -> None:
+    """An error if the table has columns of the names of results: neither may be lost without a word."""
+    if clash := sorted(set(names) & set(df.columns)):
+        raise ValueError(f"the table has columns named like results: {', '.join(clash)}; rename them or choose another prefix")
+
+
 def id_hash(column: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

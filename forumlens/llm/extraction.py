@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlens.llm.batches import refuse_clash
 from forumlens.llm.dom import TEXT, Node, from_skeleton, match, parse, skeleton
 
 REFERENCES = 8  # pages of a layout of a host that every page of it is aligned with
@@ -248,8 +249,10 @@ def extract(pages: DataFrame, url_col: str, html_col: str, prefix: str = "main_"
     Character references are decoded, white space in a block is one space, and
     blocks are joined by one space; nothing is shortened. Null or empty html
     gives an empty text; a null or odd url has no host and no template. Repeated
-    rows stay and are not references of each other. All columns stay.
+    rows stay and are not references of each other. All columns stay; one named
+    like the result is refused. An empty table stays empty.
     """
+    refuse_clash(pages, [f"{prefix}text"])
     page_columns = [f"`{c}`" for c in pages.columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
     made = references(pages, url_col, html_col)

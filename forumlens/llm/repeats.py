@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from forumlens.llm.batches import U64, Words, ragged, split_words
+from forumlens.llm.batches import U64, Words, ragged, refuse_clash, split_words
 from forumlens.llm.exchange import ASKED, among, answers, asked, number_of_parts, opened, to_blocks, with_answers
 
 WINDOW = 35
@@ -154,8 +154,10 @@ def remove_repeats(
 
     Adds `<prefix>n_words` and `<prefix>n_removed` as well. All columns stay, a
     null text has no words and an empty result, repeated rows are repeats of each
-    other, and an empty table stays empty.
+    other, and an empty table stays empty. Texts have any length: a block is one
+    whole document at least. A column named like a result is refused.
     """
+    refuse_clash(docs, [f"{prefix}{x}" for x in ("n_words", "n_removed", "kept")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     blocks = to_blocks(docs, text_col)
     parts = number_of_parts(blocks)

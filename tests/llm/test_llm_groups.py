@@ -345,3 +345,12 @@ def test_scoring_without_the_model_s_files_is_an_error(spark, tmp_path):
     language_model._readers.clear()
     with pytest.raises(Exception, match="not complete"):
         language_model.score(df.repartition(3), "text", other).collect()
+
+
+def test_columns_named_like_results_are_refused(spark, odd):
+    with pytest.raises(ValueError, match="rep_kept"):
+        repeats.remove_repeats(odd.withColumn("rep_kept", F.lit(1)), "text")
+    pages = spark.createDataFrame([("http://a.b/", "<p>x", 1)], "url string, html string, main_text int")
+    with pytest.raises(ValueError, match="main_text"):
+        extraction.extract(pages, "url", "html")
+    assert extraction.extract(pages, "url", "html", prefix="own_").columns == [*pages.columns, "own_text"]
