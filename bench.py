@@ -35,7 +35,7 @@ def kmeans_30(spark, folder):
 def grid_lr(spark, folder):
     train, _ = classifiers.prepared(spark, folder)
     points = classify.grid("LR", (1000,), (1,), C=(1.0, 10.0), penalty=("l2",))
-    return classify.grid_results(classify.cross_validate(written(classify.with_folds(train)), points))
+    return classify.grid_results(classify.grid_search(written(classify.with_folds(train)), points))
 
 
 def headline() -> dict:

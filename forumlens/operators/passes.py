@@ -9,6 +9,7 @@ a tree. Blocks of a lost executor are read again from the written table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from forumlens.session import written
 
 MATRIX = "cells binary, width long"
+DRIVER_BYTES = 256 << 20
 
 
 def held(blocks: DataFrame) -> RDD:
@@ -26,12 +28,19 @@ def held(blocks: DataFrame) -> RDD:
 
 
 def summed(blocks: RDD, of_partition: Callable[[Iterator[tuple]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all partitions of an array of the given shape."""
+    """The sum over all partitions of an array of the given shape.
+
+    Arrays that take no more than `DRIVER_BYTES` together are added up by the
+    driver, in the order of the partitions; more or larger ones in a tree.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
         yield of_partition(rows)
 
-    return blocks.mapPartitions(run).treeAggregate(np.zeros(shape), _added, _added)
+    parts = blocks.mapPartitions(run)
+    if blocks.getNumPartitions() * 8 * int(np.prod(shape)) <= DRIVER_BYTES:
+        return reduce(_added, parts.collect(), np.zeros(shape))
+    return parts.treeAggregate(np.zeros(shape), _added, _added)
 
 
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,8 +49,12 @@ def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
-def held_matrix(features: DataFrame, array: str) -> RDD:
-    """Arrays of one length as blocks (cells, width) of a matrix, one for each batch of rows."""
+def held_matrix(features: DataFrame, array: str, least_rows: int = 0) -> RDD:
+    """Arrays of one length as blocks (cells, width) of a matrix, one for each batch of rows.
+
+    Small partitions are joined until they have about `least_rows` rows, so
+    that what a task sends is not much more than what it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,7 +63,11 @@ def held_matrix(features: DataFrame, array: str) -> RDD:
                 arrays = [pa.array([cells.tobytes()], pa.binary()), pa.array([len(cells) // batch.num_rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["cells", "width"])
 
-    return held(written(features.select(array).mapInArrow(run, MATRIX), "matrix"))
+    blocks = written(features.select(array).mapInArrow(run, MATRIX), "matrix")
+    if least_rows:
+        most = max(1, features.count() // least_rows)
+        blocks = blocks.coalesce(min(most, blocks.rdd.getNumPartitions()))
+    return held(blocks)
 
 
 def matrices(rows: Iterator[tuple]) -> Iterator[np.ndarray]:

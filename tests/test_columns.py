@@ -83,14 +83,14 @@ def grid():
 @pytest.fixture(scope="module")
 def fitted(problem):
     found = grid()
-    G.minimise(problem[0], found, tolerance=1e-8, steps=1000)
+    G.minimise(problem[0], found, tolerance=1e-7, steps=600)
     return found
 
 
 def test_every_column_is_at_its_optimum(dense, problem, fitted):
     for c in fitted:
         g, w = slopes(dense, problem[0], c), c.w
-        scale = 1e-5 * max(1.0, c.c)
+        scale = 1e-4 * max(1.0, c.c)
         if c.l1:
             assert abs(g[-1]) < scale and np.abs(g[:-1][w[:-1] == 0]).max(initial=0) < 1 + scale
             assert np.abs(g[:-1] + np.sign(w[:-1]))[w[:-1] != 0].max(initial=0) < scale
@@ -100,11 +100,15 @@ def test_every_column_is_at_its_optimum(dense, problem, fitted):
     assert any((c.w[:-1] == 0).sum() > (problem[0].scale[:, c.view] == 0).sum() for c in fitted if c.l1)
 
 
-def test_columns_equal_single_fits(problem, fitted):
-    for i in (1, 8):
+def test_columns_equal_single_fits(problem):
+    """A column's steps do not depend on the others: after any number of passes it is where it would be alone."""
+    together = grid()
+    G.minimise(problem[0], together, tolerance=1e-12, steps=30)
+    for i in (1, 2, 22):
         (alone,) = [grid()[i]]
-        G.minimise(problem[0], [alone], tolerance=1e-8, steps=1000)
-        assert np.abs(alone.w - fitted[i].w).max() < 1e-6 * max(1.0, np.abs(alone.w).max())
+        G.minimise(problem[0], [alone], tolerance=1e-12, steps=30)
+        assert alone.steps == together[i].steps > 5
+        assert np.abs(alone.w - together[i].w).max() < 1e-6 * max(1.0, np.abs(alone.w).max())
 
 
 def test_bayes_and_cells(dense, problem, fitted):
