@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from forumlens.session import written
 
 UNIT = 1_000_000_000
 HELD_TERMS = 400_000  # counted terms that a task holds before it passes them on
+KEYED_BYTES = 64  # of a term: polynomial keys of long regular ones can meet
 TILE_SOURCES = 32  # about as many sources to a tile of the pair sums
 BLOCK_TERMS = 512  # about as many terms to a block of them
 LETTERS = np.ones(256, bool)
@@ -45,6 +47,8 @@ class _Counts:
         n = words.counts()
         if not len(words.keys):
             return
+        for i in np.flatnonzero(words.ends - words.starts > KEYED_BYTES):
+            words.keys[i] = int.from_bytes(blake2b(words.word(i), digest_size=8).digest(), "little")
         names = zip(part.column(lang_col).to_pylist(), part.column(source_col).to_pylist())
         group = np.array([self.groups.setdefault((a or "", b or ""), len(self.groups)) for a, b in names], np.int64)
         keys, at, word = np.unique(words.keys, return_index=True, return_inverse=True)
@@ -190,7 +194,9 @@ def _tile(rows: pa.Table) -> pa.Table:
     """
     lang, first, second = (rows.column(c)[0].as_py() for c in ("lang", "first", "second"))
     sources = rows.column("source").combine_chunks().dictionary_encode()
-    names, own = sources.dictionary, np.asarray(sources.indices)
+    # in order of names: rows meet in any order, and every block has to name a pair the same way round
+    order = np.asarray(pc.sort_indices(sources.dictionary))
+    names, own = sources.dictionary.take(pa.array(order)), np.argsort(order)[np.asarray(sources.indices)]
     tile, zero = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     tile[own] = np.asarray(rows.column("tile"), np.int64)
     zero[own] = np.asarray(rows.column("zero"), np.int64)

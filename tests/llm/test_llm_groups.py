@@ -90,6 +90,27 @@ def test_skyband_keeps_rows_with_few_dominators(rows, k):
         assert band.meet(lang_n, term) == (over < k)
 
 
+def test_blocks_name_a_pair_the_same_way_round():
+    """Rows of a tile come in any order; sums of a pair over blocks of terms meet by its two names."""
+    marks = [("b", "en", 0, 0, 0, 5, None, 0), ("a", "en", 0, 0, 0, 3, None, 0), ("c", "en", 0, 0, 0, 4, None, 0)]
+    names = ["source", "lang", "first", "second", "tile", "zero", "term", "p"]
+    found = []
+    for own in (marks, marks[::-1], [marks[1], marks[2], marks[0]]):
+        rows = [*own, ("a", "en", 0, 0, 0, 3, "x", 90)]
+        table = pa.table({n: pa.array([r[i] for r in rows], pa.string() if n in ("source", "lang", "term") else pa.int64()) for i, n in enumerate(names)})
+        found.append(sorted(tuple(r.values()) for r in divergence._tile(table).to_pylist()))
+    assert found[0] == found[1] == found[2] and [r[1:3] for r in found[0]] == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_long_regular_terms_stay_apart(spark):
+    """Thue-Morse words of 2,048 letters share any polynomial key modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    rows = [(words[i % 2], "en", f"s{i % 4}") for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert audited(df) == plain_audit(rows)
+
+
 def test_hot_group_is_split_by_term(spark):
     """The whole corpus is one group: counted terms lie in many partitions, and each holds its part only."""
     df = spark.range(400).select(F.lit("en").alias("lang"), F.lit("one").alias("source"), F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
