@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.ml.functions import vector_to_array
@@ -113,3 +114,29 @@ def test_class_ngrams_and_selection(spark):
     sig = {r.ngram: r.predicts for r in ngrams.significant(tested, 0.01).collect()}
     assert sig == {"xx": 1, "xx yy": 1, "zz": 0, "zz yy": 0}
     assert {r.ngram for r in ngrams.exclusive(ngrams.significant(tested, 0.01)).collect()} == {"xx", "xx yy"}
+
+
+def test_ngrams_are_counted_over_many_rows_at_a_time(spark, monkeypatch):
+    """Null texts and labels, rows of few words, repeated rows; slices of any size give the same counts."""
+    words = "aa bb aa cc bb aa dd".split()
+    draw = np.random.default_rng(3)
+    texts = [(" ".join(draw.choice(words, draw.integers(0, 9))), [0, 1, None][draw.integers(0, 3)]) for _ in range(40)]
+    texts += [(None, 1), ("", 0), ("aa", None), *texts[:4]]
+    expected = {}
+    for text, y in texts:
+        w = (text or "").split()
+        grams = [" ".join(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)]
+        for g in set(grams):
+            found = expected.setdefault(g, [0, 0, 0, 0])
+            if y is not None:
+                found[2 * y] += grams.count(g)
+                found[2 * y + 1] += 1
+    expected = {g: tuple(n) for g, n in expected.items() if n[1] + n[3] >= 2}
+    df = spark.createDataFrame(texts, "text string, y int").coalesce(2)
+    slices = ngrams.ngram_counts(df.select(T.tokens("text").alias("words"), "y"), 3)
+    assert slices.where("term = 'aa'").count() <= 6  # one row for each task and label, not one for each document
+    for size in (1, 7, 1 << 19):
+        monkeypatch.setattr(ngrams, "SLICE_WORDS", size)
+        got = ngrams.class_ngrams(df, "text", "y", 5).collect()
+        assert {r.ngram: (r["0_total_freq"], r["0_doc_freq"], r["1_total_freq"], r["1_doc_freq"]) for r in got} == expected
+        assert all(r.n == len(r.ngram.split()) and r.doc_freq == r["0_doc_freq"] + r["1_doc_freq"] for r in got)
