@@ -140,3 +140,12 @@ def test_ngrams_are_counted_over_many_rows_at_a_time(spark, monkeypatch):
         got = ngrams.class_ngrams(df, "text", "y", 5).collect()
         assert {r.ngram: (r["0_total_freq"], r["0_doc_freq"], r["1_total_freq"], r["1_doc_freq"]) for r in got} == expected
         assert all(r.n == len(r.ngram.split()) and r.doc_freq == r["0_doc_freq"] + r["1_doc_freq"] for r in got)
+
+
+def test_bag_of_words_cleans_texts_once(spark):
+    """The plan of the result reads written counts: no text is split in it."""
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb+ bb cc")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("aa", 1), ("bb", 2)], "term string, df long")
+    found = vocabulary.bag_of_words(docs, "doc_id", "text", vocab)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "aa", 2), (1, "bb", 1), (2, "bb", 1)]
