@@ -5,6 +5,7 @@ import math
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -149,3 +150,16 @@ def test_bag_of_words_cleans_texts_once(spark):
     found = vocabulary.bag_of_words(docs, "doc_id", "text", vocab)
     assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, "aa", 2), (1, "bb", 1), (2, "bb", 1)]
+
+
+def test_vocabulary_is_sent_in_one_call(spark, monkeypatch):
+    """Terms of any kind keep their order; one call for each term would never end on a large vocabulary."""
+    words = ["", " ", "aa", "a\tb", "\n", "é", "中文", "\U0001f600", "zz"]
+    for terms in (words, [*words, "with\0nul"], words[:1], words[2:3]):
+        model = vocabulary.count_model(spark, terms, "words", "counts")
+        assert model.vocabulary == terms and model.getInputCol() == "words" and model.getVocabSize() == len(terms)
+        row = spark.createDataFrame([(terms + terms[:1],)], "words array<string>")
+        assert model.transform(row).first().counts.toArray().tolist() == [2.0] + [1.0] * (len(terms) - 1)
+    monkeypatch.setattr(CountVectorizerModel, "_new_java_array", None)
+    d = spark.createDataFrame([(["aa", "bb"],), (["bb"],)], "words array<string>")
+    assert vocabulary.fit_vectoriser(d, "words", 1).stages[0].vocabulary == ["aa", "bb"]
