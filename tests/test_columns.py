@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from forumlens.operators import classify
+from forumlens.operators import classify, passes
 from forumlens.operators import columns as G
 from forumlens.plans import classifiers
 from forumlens.session import written
@@ -164,3 +165,21 @@ def test_nested_folds_choose_on_inner_rows_only(train):
     assert sum(r.tn + r.fp + r.fn + r.tp for r in got) == train.count()
     single = classify.nested_cross_validate(train, points, folds=3).collect()
     assert {(r.fold, r.point, r.tp, r.fp) for r in got} == {(r.fold, r.point, r.tp, r.fp) for r in single}
+
+
+def test_the_driver_takes_whole_sums_in_slabs(spark, monkeypatch):
+    """Sums too large to be collected: no tree ends on the driver, and it takes each cell once, some rows at a time."""
+    monkeypatch.setattr(passes, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(passes, "SLAB_BYTES", 7 * 3 * 8)
+    taken, take = [], RDD.toLocalIterator
+
+    def noted(self, *rest):
+        for item in take(self, *rest):
+            taken.append(item[1].nbytes)
+            yield item
+
+    monkeypatch.setattr(RDD, "toLocalIterator", noted)
+    rows = spark.sparkContext.parallelize(range(60), 9)
+    found = passes.summed(rows, lambda part: sum(np.arange(150.0).reshape(50, 3) + i for i in part), (50, 3))
+    assert np.array_equal(found, 60 * np.arange(150.0).reshape(50, 3) + 1770)
+    assert sum(taken) == 50 * 3 * 8 and max(taken) <= 7 * 3 * 8
