@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from forumlens.functions.text import split_words
 
+WHITE_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"  # as `split_words` splits
+
 
 def _exploded(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
     return df.select(*ids, F.posexplode(split_words(F.col(text))).alias("pos", "word"))
@@ -60,7 +66,39 @@ def stop_and_lemmatise(
     return _rejoined(final, df, ids, target)
 
 
-def remove_words(df: DataFrame, ids: Sequence[str], text: str, words: DataFrame, target: str) -> DataFrame:
-    """Remove every word listed in `words(term)`, e.g. the terms outside a vocabulary."""
-    kept = _exploded(df, ids, text).join(words.select(F.col("term").alias("word")), "word", "left_anti")
-    return _rejoined(kept, df, ids, target)
+def remove_words(
+    df: DataFrame, ids: Sequence[str], text: str, words: DataFrame, target: str, staying: DataFrame | None = None
+) -> DataFrame:
+    """Remove every word listed in `words(term)`, e.g. the terms outside a vocabulary.
+
+    Only the different words of a row are looked up, and what comes back to a
+    text is the set of its listed words. `staying(term)` names some frequent
+    words that are not listed, a bounded number: they are left out where they
+    are read. Rows of the same ids are one text, their words in order of place.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in ids])
+    rows = df.where(known).select(*ids, F.col(text).alias("text"))
+    met = rows.select(*ids, F.explode(F.array_distinct(split_words(F.col("text")))).alias("word"))
+    if staying is not None:
+        met = met.join(F.broadcast(staying.select(F.col("term").alias("word"))), "word", "left_anti")
+    listed = met.join(words.select(F.col("term").alias("word")), "word", "left_semi")
+    gone = listed.groupBy(*ids).agg(F.collect_set("word").alias("gone"))
+    texts = rows.groupBy(*ids).agg(F.collect_list("text").alias("texts")).join(gone, list(ids), "left")
+
+    n, split = len(ids), re.compile(WHITE_SPACE).split
+    schema = StructType([*(df.schema[i] for i in ids), StructField(target, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, listed in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                out_words = {"", *(listed or ())}
+                if len(own) == 1:
+                    out.append(" ".join([w for w in split(own[0]) if w not in out_words]))
+                else:
+                    placed = sorted(p for t in own for p in enumerate(w for w in split(t) if w))
+                    out.append(" ".join([w for _, w in placed if w not in out_words]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.string())], schema.names)
+
+    text_of = texts.select(*ids, "texts", "gone").mapInArrow(run, schema)
+    return df.join(text_of, list(ids), "left").withColumn(target, F.coalesce(target, F.lit("")))
